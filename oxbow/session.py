@@ -12,14 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir. Only where that is
-    unset (local tests) a temporary folder is made. Lost executors don't lose the files.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, a temporary one only where that is unset (local tests)."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="oxbow-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder; lost executors don't lose it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
