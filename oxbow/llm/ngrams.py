@@ -8,9 +8,9 @@ threshold asks for. The surviving pairs are verified on the sets.
 
 To join a large corpus the points are first dealt into blocks, without loss: two sets of Jaccard t or
 more share an n-gram among the first |x| - ceil(t |x|) + 1 of each in any common order. The order
-taken puts frequent n-grams last (their list is only a preference: whatever it holds, no pair is
-lost), then goes by hash, so a passage that many documents share makes no block unless it is most of
-a document. Blocks with the same members are one block; documents with equal sets are one point.
+taken goes by frequency (in powers of two, as far as batches of documents can tell; it is only a
+preference: whatever it says, no pair is lost), then by hash, so a passage that many documents share
+makes no block unless it is most of a document. Blocks with the same members are one block; documents with equal sets are one point.
 A block of more than SPLIT points is split into pairs of sub-blocks with an R-tree each.
 
 As the result is a partition, not all links: first each point's most alike partner (by the bound) is
@@ -41,8 +41,8 @@ FANOUT = 16
 SPLIT = 1024
 #: Members that are verified against one document in one place.
 MEMBERS = 512
-#: The frequent n-grams that the order knows: in at least a FREQUENTth of all documents, and so many at most.
-FREQUENT, MOST_FREQUENT = 1000, 500_000
+#: Frequent n-grams whose frequency the order knows, at most (9 bytes each are broadcast).
+MOST_FREQUENT = 1_000_000
 PORTION = 1 << 20
 PART_BYTES = 8 << 20
 RECORD = np.dtype([("gram", "<u8"), ("doc", "<i8")])
@@ -105,8 +105,8 @@ def portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         begin = end
 
 
-def describe(batches: Iterator[pa.RecordBatch], words: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(doc, n, print, point, frequent) of the documents (doc, data): size, fingerprint and point of each set; on a batch's last row, the counts of grams in `least` of its documents or more."""
+def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(doc, n, print, point, frequent) of the documents (doc, data): size, fingerprint and point of each set; on a batch's last row, the counts of grams in two of its documents or more."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -124,7 +124,7 @@ def describe(batches: Iterator[pa.RecordBatch], words: int, least: int) -> Itera
                     prints[of[cuts], k] = np.add.reduceat(value, cuts)
             all_grams.append(grams)
         names, counts = np.unique(np.concatenate(all_grams), return_counts=True)
-        often = counts >= least
+        often = counts >= 2
         frequent = np.empty(int(often.sum()), COUNT)
         frequent["gram"], frequent["count"] = names[often], counts[often]
         points = np.minimum(points, 65535).astype("<u2")
@@ -146,7 +146,30 @@ def list_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found["gram"].view(np.int64)), pa.array(found["count"])], ["gram", "count"])
 
 
-def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tuple[int, int], parts: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def frequent_grams(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, levels), sorted by gram: the most frequent ones of (gram, c), whole levels only, MOST_FREQUENT at most."""
+    leveled = counts.withColumn("level", F.floor(F.log2("c")).cast("tinyint"))
+    least, total = 127, 0
+    for r in leveled.groupBy("level").count().orderBy(F.desc("level")).collect():  # a row for each power of two
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            break
+        least = r["level"]
+    found = leveled.where(F.col("level") >= least).select("gram", "level").toArrow()
+    grams, levels = found["gram"].to_numpy().view(np.uint64), found["level"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order], levels[order]
+
+
+def level_of(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    names, levels = frequent
+    if not len(names):
+        return np.zeros(len(grams), np.int8)
+    at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+    return np.where(names[at] == grams, levels[at], 0).astype(np.int8)
+
+
+def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tuple[int, int], parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(part, records) of the documents (doc, data): the grams by which each can meet others. Of equal sets in a batch only the first goes."""
     over, under = threshold
     for batch in batches:
@@ -163,7 +186,7 @@ def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tupl
             for i, key in enumerate(zip(whole.tolist(), sizes.tolist(), strict=True)):
                 repeat[i] = key in seen
                 seen.add(key)
-            late = np.isin(grams, frequent)
+            late = level_of(grams, frequent)
             order = np.lexsort([grams, late, of])
             of, grams = of[order], grams[order]
             place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
@@ -374,13 +397,10 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = named.where("doc is not null")
     if repeated:
         texts = texts.groupBy("doc").agg(F.max("data").alias("data"))
-    sums = df.select(F.count("*"), F.sum(F.octet_length(text_col))).first()
-    rows, size = sums[0], sums[1] or 0
-    least = max(64, rows // FREQUENT)
-    about = checkpointed(texts.mapInArrow(lambda b: describe(b, words, max(3, least // 8 if rows < 100_000 else 4)), "doc long, n long, print binary, point binary, frequent binary"))
+    size = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    about = checkpointed(texts.mapInArrow(lambda b: describe(b, words), "doc long, n long, print binary, point binary, frequent binary"))
     counts = about.where("frequent is not null").select("frequent").mapInArrow(list_counts, "gram long, count int")
-    often = counts.groupBy("gram").agg(F.sum("count").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "gram").limit(MOST_FREQUENT)
-    frequent = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in often.select("gram").collect()], np.int64).view(np.uint64)))
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_grams(counts.groupBy("gram").agg(F.sum("count").alias("c"))))
 
     parts = max(32, int(size * 0.8 / PART_BYTES))
     prefixes = texts.mapInArrow(lambda b: list_prefixes(b, words, threshold, parts, frequent.value), "part int, records binary")
@@ -410,5 +430,5 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         told = named.where("doc is not null").select("doc").join(result, "doc")
     else:
         told = result
-    nameless = named.where("doc is null").mapInArrow(lambda b: describe(b, words, 1 << 30), "doc long, n long, print binary, point binary, frequent binary")
+    nameless = named.where("doc is null").mapInArrow(lambda b: describe(b, words), "doc long, n long, print binary, point binary, frequent binary")
     return told.unionAll(nameless.select("doc", "n", F.lit(None).cast("long"))).select(F.col("doc").alias(id_col), "n_shingles", "component_id")
