@@ -15,7 +15,8 @@ A block of more than SPLIT points is split into pairs of sub-blocks with an R-tr
 
 As the result is a partition, not all links: first each point's most alike partner (by the bound) is
 verified; components are formed; then, in blocks that still hold several components, every
-surviving pair across components is verified. Points of one component are not paired again, so a
+surviving pair across components is verified; these must pass a second bound as well, over as many
+groups as the document has n-grams, about, so that few pairs are verified in vain. Points of one component are not paired again, so a
 group of near copies costs about its size, not its square, and no component is missed.
 """
 
@@ -105,13 +106,52 @@ def portions(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         begin = end
 
 
+def fine_groups(n: int) -> int:
+    """Groups of a document's fine point: the power of two from its size on, so that sets are thinly spread."""
+    return max(GROUPS, min(1 << 16, 1 << max(0, n - 1).bit_length()))
+
+
+def fine_point(grams: np.ndarray) -> bytes:
+    """Counts per group, in bytes, or in four bytes each where one exceeds 255."""
+    counts = np.bincount((grams & np.uint64(fine_groups(len(grams)) - 1)).astype(np.int64), minlength=fine_groups(len(grams)))
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+
+
+def fine_bound(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """What the sets of rows x and y share at most, by their fine points, the larger folded to the smaller's groups."""
+    out = np.zeros(len(x), np.int64)
+    groups = {int(n): fine_groups(int(n)) for n in np.unique(sizes)}
+    wide = np.array([groups[int(n)] for n in sizes], np.int64)
+    used = np.unique(np.concatenate([x, y]))
+    place = np.zeros(len(sizes), np.int64)
+    tables: dict[int, np.ndarray] = {}
+    for w in np.unique(wide[used]):
+        own = used[wide[used] == w]
+        place[own] = np.arange(len(own))
+        rows = [np.frombuffer(raw[i], np.uint8 if len(raw[i]) == w else "<u4") for i in own]
+        tables[int(w)] = np.stack(rows)  # of bytes, unless one row needs more
+    for a, b in {*zip(wide[x].tolist(), wide[y].tolist(), strict=True)}:
+        pairs = np.flatnonzero((wide[x] == a) & (wide[y] == b))
+        small = min(a, b)
+        step = max(1, (16 << 20) // max(a, b))
+        for k in range(0, len(pairs), step):
+            p = pairs[k : k + step]
+            left, right = tables[a][place[x[p]]], tables[b][place[y[p]]]
+            if a > small:
+                left = left.reshape(len(p), -1, small).sum(axis=1, dtype=np.uint32)
+            if b > small:
+                right = right.reshape(len(p), -1, small).sum(axis=1, dtype=np.uint32)
+            out[p] = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(doc, n, print, point, frequent) of the documents (doc, data): size, fingerprint and point of each set; on a batch's last row, the counts of grams in two of its documents or more."""
+    """(doc, n, print, point, fine, frequent) of the documents (doc, data): size, fingerprint and point of each set; on a batch's last row, the counts of grams in two of its documents or more."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        sizes, prints, points, all_grams = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, GROUPS), np.int64), []
+        sizes, prints, points, all_grams, fine = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, GROUPS), np.int64), [], []
         for begin, texts in portions(batch.column(1)):
             of, grams = gram_sets(texts, words)
             of = of + begin
@@ -122,6 +162,8 @@ def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
                 cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
                 if len(cuts):
                     prints[of[cuts], k] = np.add.reduceat(value, cuts)
+            ends = np.searchsorted(of, np.arange(begin, begin + len(texts) + 1))
+            fine += [fine_point(grams[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             all_grams.append(grams)
         names, counts = np.unique(np.concatenate(all_grams), return_counts=True)
         often = counts >= 2
@@ -134,9 +176,10 @@ def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
                 pa.array(sizes),
                 pa.array([p.tobytes() for p in prints], pa.binary()),
                 pa.array([p.tobytes() for p in points], pa.binary()),
+                pa.array(fine, pa.binary()),
                 pa.array([None] * (n - 1) + [frequent.tobytes()], pa.binary()),
             ],
-            ["doc", "n", "print", "point", "frequent"],
+            ["doc", "n", "print", "point", "fine", "frequent"],
         )
 
 
@@ -300,13 +343,14 @@ def small_pairs(at: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.
 
 
 def candidates(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b, of rows (block, one, two, side, doc, n, point, component) sorted by block, one and two.
+    """(a, b), a < b, of rows (block, one, two, side, doc, n, point, fine, component) sorted by block, one and two.
 
     best_only: for each document of a block, its most alike earlier one; else all pairs across components.
     """
     for rows, group in whole_groups(batches, ("block", *PAIR)):
         docs, sizes, side, component = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "n", "side", "component"))
         points = np.frombuffer(b"".join(rows["point"].to_pylist()), "<u2").reshape(len(rows), GROUPS)
+        raw = [] if best_only else rows["fine"].to_pylist()
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         wide = np.diff(cuts)
         best = np.full(len(rows), -1.0)
@@ -318,7 +362,10 @@ def candidates(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int], be
             x, y, bound = x[apart], y[apart], bound[apart]
             x, y = np.where(docs[x] < docs[y], x, y), np.where(docs[x] < docs[y], y, x)
             if not best_only:
-                out.append(np.stack([docs[x], docs[y]], axis=1))
+                for k in range(0, len(x), 1 << 18):
+                    i, j = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
+                    near = fine_bound(i, j, sizes, raw) >= asked(sizes[i], sizes[j], threshold)
+                    out.append(np.unique(np.stack([docs[i[near]], docs[j[near]]], axis=1), axis=0))
                 return
             alike = bound / np.maximum(sizes[x] + sizes[y] - bound, 1)
             order = np.lexsort([docs[x], -alike, y])
@@ -398,22 +445,23 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if repeated:
         texts = texts.groupBy("doc").agg(F.max("data").alias("data"))
     size = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    about = checkpointed(texts.mapInArrow(lambda b: describe(b, words), "doc long, n long, print binary, point binary, frequent binary"))
+    about = checkpointed(texts.mapInArrow(lambda b: describe(b, words), "doc long, n long, print binary, point binary, fine binary, frequent binary"))
     counts = about.where("frequent is not null").select("frequent").mapInArrow(list_counts, "gram long, count int")
     frequent = df.sparkSession.sparkContext.broadcast(frequent_grams(counts.groupBy("gram").agg(F.sum("count").alias("c"))))
 
     parts = max(32, int(size * 0.8 / PART_BYTES))
     prefixes = texts.mapInArrow(lambda b: list_prefixes(b, words, threshold, parts, frequent.value), "part int, records binary")
     blocks = prefixes.groupBy("part").applyInArrow(form_blocks, "block long, docs array<long>").groupBy("block").agg(F.first("docs").alias("docs"))
-    points = about.where("n > 0").select("doc", "n", "print", "point")
+    points = about.where("n > 0").select("doc", "n", "print", "point", "fine")
     classes = points.groupBy("print").agg(F.min("doc").alias("first"))
     # a block's members, each set once
     members = checkpointed(blocks.select("block", F.explode("docs").alias("doc")).join(points.select("doc", "print"), "doc").join(classes, "print").select("block", F.col("first").alias("doc")).distinct())
     copies = points.join(classes, "print").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
 
     def pairs_of(rows: DataFrame, best_only: bool) -> DataFrame:
-        dealt = split_in_pairs(rows, "block", "doc", SPLIT).join(points.drop("print"), "doc")
-        ordered = dealt.select("block", *PAIR, "side", "doc", "n", "point", "component").repartition("block", *PAIR).sortWithinPartitions("block", *PAIR)
+        fine = F.lit(None).cast("binary") if best_only else F.col("fine")
+        dealt = split_in_pairs(rows, "block", "doc", SPLIT).join(points.select("doc", "n", "point", fine.alias("fine")), "doc")
+        ordered = dealt.select("block", *PAIR, "side", "doc", "n", "point", "fine", "component").repartition("block", *PAIR).sortWithinPartitions("block", *PAIR)
         return ordered.mapInArrow(lambda b: candidates(b, threshold, best_only), "a long, b long").distinct()
 
     tried = checkpointed(pairs_of(members.withColumn("component", F.col("doc")), True))
@@ -430,5 +478,5 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         told = named.where("doc is not null").select("doc").join(result, "doc")
     else:
         told = result
-    nameless = named.where("doc is null").mapInArrow(lambda b: describe(b, words), "doc long, n long, print binary, point binary, frequent binary")
+    nameless = named.where("doc is null").mapInArrow(lambda b: describe(b, words), "doc long, n long, print binary, point binary, fine binary, frequent binary")
     return told.unionAll(nameless.select("doc", "n", F.lit(None).cast("long"))).select(F.col("doc").alias(id_col), "n_shingles", "component_id")
