@@ -43,7 +43,7 @@ SPLIT = 1024
 #: Members that are verified against one document in one place.
 MEMBERS = 512
 #: Frequent n-grams whose frequency the order knows, at most (9 bytes each are broadcast).
-MOST_FREQUENT = 1_000_000
+MOST_FREQUENT = 3_000_000
 PORTION = 1 << 20
 PART_BYTES = 8 << 20
 RECORD = np.dtype([("gram", "<u8"), ("doc", "<i8")])
@@ -468,7 +468,9 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = checkpointed(verified(tried, texts, words, threshold).unionAll(copies))
     joined = checkpointed(star_components(links, "a", "b"))
     held = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = held.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("block")
+    mixed = held.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+    # the only pair of a block of two was tried or ruled out in the first round
+    mixed = mixed.where("x <> y and members > 2").select("block")
     rest = pairs_of(held.join(mixed, "block", "left_semi"), False).join(tried, ["a", "b"], "left_anti")
     more = checkpointed(verified(checkpointed(rest), texts, words, threshold))
     # the second round joins components of the first

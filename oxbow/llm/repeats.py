@@ -85,20 +85,24 @@ def anchors(data: np.ndarray, sizes: np.ndarray, span: int, gram: int = GRAM) ->
     return text, first - offset, last - offset, h[place], context
 
 
-def sorted_suffixes(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix starts of a shard in the order of their first `depth` bytes; a context's end is below any byte and differs from others by place."""
+def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of the suffixes of a shard in the order of their first `depth` symbols, equal ones by place (prefix doubling from 8 symbols on)."""
     n = len(text)
-    rank = text.astype(np.int64) + n
-    rank[ends] = np.arange(len(ends))
-    _, rank = np.unique(rank, return_inverse=True)
-    have = 1
+    key = np.zeros(n, np.uint64)
+    for j in range(min(8, depth)):
+        key <<= np.uint64(8)
+        key[: n - j] |= text[j:]
+    have = min(8, depth)
     while True:
+        order = np.argsort(key, kind="stable")
+        if have >= depth:
+            return order
+        ranks = np.empty(n, np.uint64)
+        rising = key[order]
+        ranks[order] = np.cumsum(np.concatenate([[False], rising[1:] != rising[:-1]])).astype(np.uint64) + np.uint64(1)
         shift = min(have, depth - have)
-        if not shift:
-            return np.argsort(rank, kind="stable")
-        after = np.full(n, -1, np.int64)
-        after[:-shift] = rank[shift:]
-        _, rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)
+        key = ranks << np.uint64(32)
+        key[: max(0, n - shift)] |= ranks[shift:]
         have += shift
 
 
@@ -116,32 +120,40 @@ def repeated_intervals(contexts: list[bytes], span: int) -> tuple[np.ndarray, np
     for a, b in shards:
         text = np.frombuffer(b"\0".join(contexts[a:b]) + b"\0", np.uint8)
         ends = np.cumsum(sizes[a:b]) - 1
-        order = sorted_suffixes(text, ends, span)
         # end marks are 0 and sort first; no UTF-8 byte is 255
         symbol = text + np.uint8(1)
         symbol[ends] = 0
+        order = sorted_suffixes(symbol, span)
         transform = symbol[order - 1]
-        # where the transform's entry i leads: the suffix that is one byte longer
-        lead = np.empty(len(order), np.int64)
-        lead[np.argsort(transform, kind="stable")] = np.arange(len(order))
+        # where entry i leads: the suffix that is one byte longer
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lead = rank[order - 1]
         symbols.append(transform)
         steps.append(lead + base)
         starts.append(order + (bounds[a] - sizes[a]))
         base += len(order)
-    transform, lead, place = np.concatenate(symbols), np.concatenate(steps), np.concatenate(starts)
-    entry, block = np.arange(len(place)), np.zeros(len(place), np.int64)
-    for _ in range(span):
+    transform, lead, place = np.concatenate(symbols), np.concatenate(steps).astype(np.int32), np.concatenate(starts)
+    # only strings that end where a context has `span` bytes before can be that long
+    context = np.searchsorted(bounds, place, side="right")
+    entry = np.flatnonzero(place - (bounds[context] - sizes[context]) >= span).astype(np.int32)
+    block = np.zeros(len(entry), np.int32)
+    for h in range(span):
         symbol = transform[entry]
-        inside = symbol > 0
-        entry, block, symbol = entry[inside], block[inside], symbol[inside]
         order = np.argsort(symbol, kind="stable")
         symbol, block, entry = symbol[order], block[order], lead[entry[order]]
+        fresh = np.ones(len(entry), bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=fresh[1:])
+        fresh[1:] |= block[1:] != block[:-1]
+        block = np.cumsum(fresh, dtype=np.int32)
+        # suffixes alone in their interval are settled
+        if h % 4 == 3 or h == span - 1:
+            alone = fresh.copy()
+            alone[:-1] &= fresh[1:]
+            if alone.any():
+                entry, block = entry[~alone], block[~alone]
         if not len(entry):
             break
-        fresh = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
-        block = np.cumsum(fresh) - 1
-        alone = fresh & np.concatenate([fresh[1:], [True]])
-        entry, block = entry[~alone], block[~alone]
     place = place[entry]
     context = np.searchsorted(bounds, place, side="right")
     return block, context, place - (bounds[context] - sizes[context])
@@ -306,7 +318,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = df.select(key.alias("doc"), F.col(text_col).alias("repeat_text"), *names)
     pair = F.struct("first", "last")
     wanted = spans.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "last")).alias("wanted"))
-    fetched = whole.join(wanted, "doc").select("doc", F.coalesce("repeat_text", F.lit("")).alias("data"), "wanted")
+    # fetched has all columns of `whole`, or else its exchange would be another one
+    fetched = whole.join(wanted, "doc").select("doc", F.coalesce("repeat_text", F.lit("")).alias("data"), "wanted", *names)
     contexts = fetched.mapInArrow(lambda b: cut_contexts(b, span, parts), "part int, grams array<long>, docs array<long>, firsts array<int>, contexts array<binary>")
     merged = contexts.groupBy("part").applyInArrow(lambda t: merge_contexts(t, span), "doc long, first int, last int")
     marks = spans.where("gram is null").select("doc", "first", "last").unionAll(merged).groupBy("doc").agg(F.collect_list(pair).alias("repeat_marks"))
