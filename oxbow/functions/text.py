@@ -1,0 +1,37 @@
+"""Text functions as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Kinds of secrets and their patterns (Java regular expressions), in the order applied.
+SECRETS = (
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b"),
+    ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]{16,}=*"),
+    ("url_password", r"(?<=://)[^\s/:@]+:[^\s/@]+(?=@)"),
+    ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+)
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of ASCII letters and digits, two characters or more."""
+    return F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda t: F.length(t) >= 2)
+
+
+def redact(text: Column, known: tuple[str, ...] = ()) -> Column:
+    """Secrets replaced by [REDACTED:kind]; `known` values of 8 characters or more too."""
+    for value in known:
+        if len(value) >= 8:
+            text = F.replace(text, F.lit(value), F.lit("[REDACTED:known]"))
+    for kind, pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+    return text
+
+
+def without_private(text: Column) -> Column:
+    """Without <private> parts; an unclosed one drops the rest."""
+    return F.regexp_replace(text, r"(?is)<private>.*?(</private>|$)", "")

@@ -1,11 +1,189 @@
-"""The queries of the engine's own operators, and the SQL that says the same."""
+"""The queries of the engine's own operators, each over whole tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oxbow.functions.text import redact, tokens
+from oxbow.functions.vectors import cosine_distance
+from oxbow.operators import graph, retrieval
+from oxbow.plans.kql import kql
+from oxbow.session import table
+from oxbow.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "kql_summarize"
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def piped(name: str, text: str, sql: str) -> None:
+    """A query in the pipe language."""
+    query(name, sql)(lambda spark, sf_dir: kql(text, lambda t: table(spark, sf_dir, t)))
+
+
+piped("kql_where", "events | where event_type == 'click' and value > 50.0 | project event_id, user_id, value", "SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND value > 50.0")
+piped("kql_between_in", "lineitem | where l_quantity between (10 .. 20) and l_returnflag in ('A', 'R') | project l_orderkey, l_linenumber, l_quantity", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R')")
+piped("kql_not_in", "nation | where n_regionkey !in (1, 2) | project n_name", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (1, 2)")
+piped("kql_time_range", "events | where ts >= datetime(2024-01-05) and ts < datetime('2024-01-10 12:00:00') | count", 'SELECT count(*) AS "Count" FROM events WHERE ts >= TIMESTAMP \'2024-01-05\' AND ts < TIMESTAMP \'2024-01-10 12:00:00\'')
+piped("kql_project_away", "customer | project-away c_acctbal, c_name", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+piped("kql_extend", "orders | extend half = o_orderkey / 2, twice = half * 2 | project o_orderkey, half, twice, rest = o_orderkey % 7", "SELECT o_orderkey, o_orderkey // 2 AS half, (o_orderkey // 2) * 2 AS twice, o_orderkey % 7 AS rest FROM orders")
+piped("kql_summarize", "lineitem | where l_shipdate <= datetime(1998-09-02) | summarize sum_qty = round(sum(l_quantity), 2), n = count(), most = max(l_extendedprice) by l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n, max(l_extendedprice) AS most FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+piped("kql_having", "orders | summarize n = count() by o_custkey | where n > 12", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+piped("kql_dcount", "events | summarize users = dcount(user_id), clicks = dcountif(user_id, event_type == 'click') by event_type", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT CASE WHEN event_type = 'click' THEN user_id END) AS clicks FROM events GROUP BY event_type")
+piped("kql_bin", "events | summarize n = count() by hour = bin(ts, 6h), event_type", "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+piped("kql_start_of", "events | summarize n = count() by day = startofday(ts)", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL")
+piped("kql_top", "customer | top 10 by c_acctbal desc, c_custkey asc | project c_custkey, c_acctbal", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+piped("kql_sort_take", "part | sort by p_retailprice desc, p_partkey asc | take 25 | project p_partkey", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+piped("kql_distinct", "orders | distinct o_orderstatus, o_orderpriority", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+piped("kql_count_after", "orders | distinct o_custkey | count", 'SELECT count(*) AS "Count" FROM (SELECT DISTINCT o_custkey FROM orders)')
+piped("kql_union", "union withsource=origin (customer | project key = c_custkey, name = c_name), (supplier | project key = s_suppkey, balance = s_acctbal)", "SELECT 'customer' AS origin, c_custkey AS key, c_name AS name, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT 'supplier', s_suppkey, NULL, s_acctbal FROM supplier")
+piped("kql_join", "orders | join kind=inner (customer | where c_mktsegment == 'BUILDING') on $left.o_custkey == $right.c_custkey | summarize n = count() by c_nationkey", "SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey")
+piped("kql_join_left", "nation | join kind=leftouter (supplier | summarize suppliers = count() by n_nationkey = s_nationkey) on n_nationkey | project n_name, suppliers", "SELECT n_name, suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY s_nationkey) ON n_nationkey = s_nationkey")
+piped("kql_strings", "customer | where c_name contains '1' and c_mktsegment startswith 'B' | project c_custkey, tag = strcat(tolower(c_mktsegment), '-', tostring(c_nationkey)), size = strlen(c_name)", "SELECT c_custkey, concat(lower(c_mktsegment), '-', c_nationkey::VARCHAR) AS tag, length(c_name)::INT AS size FROM customer WHERE contains(c_name, '1') AND starts_with(c_mktsegment, 'B')")
+piped("kql_has", "documents | where text has 'the' | count", "SELECT count(*) AS \"Count\" FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^0-9a-z]+'), 'the')")
+piped("kql_iff", "lineitem | summarize late = sum(iff(l_discount > 0.05, 1, 0)), nulls = countif(isnull(l_tax)) by l_linestatus", "SELECT l_linestatus, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END)::BIGINT AS late, count(*) FILTER (l_tax IS NULL) AS nulls FROM lineitem GROUP BY l_linestatus")
+piped("kql_json_path", "events | extend k = tolong(props.k) | summarize n = count(), most = max(k) by event_type", "SELECT event_type, count(*) AS n, max((props->>'$.k')::BIGINT) AS most FROM events GROUP BY event_type")
+piped("kql_regex", "part | where p_name matches regex '[aeiou]{2}' | count", "SELECT count(*) AS \"Count\" FROM part WHERE regexp_matches(p_name, '[aeiou]{2}')")
+
+query("sql_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")(lambda spark, d: table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")))
+
+
+@query("sql_window", "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders")
+def sql_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("oxbow_orders")
+    return spark.sql("SELECT o_orderkey, o_custkey, cast(row_number() OVER w AS bigint) AS nth, lag(o_totalprice) OVER w AS previous FROM oxbow_orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+
+
+@query("sql_set_operations", "(SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def sql_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    both = t("supplier").select(F.col("s_nationkey").alias("k")).intersect(t("customer").select("c_nationkey"))
+    return both.subtract(t("nation").where("n_regionkey = 0").select("n_nationkey"))
+
+
+def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as a chain: consecutive customers of nations, a graph with cycles and hubs."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select((F.col("o_custkey") % 97).alias("src"), (F.col("o_orderkey") % 89).alias("dst"), F.col("o_orderstatus").alias("type")).distinct()
+
+
+EDGES = "e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 89 AS dst, o_orderstatus AS type FROM orders)"
+
+
+@query("graph_var_length", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND e.type = 'F') SELECT 5::BIGINT AS src, node AS dst, min(depth)::INT AS depth FROM w GROUP BY node HAVING min(depth) >= 1")
+def graph_var_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = user_edges(spark, sf_dir)
+    return kql("edges | graph-var-length source 5 from src to dst min-hops 1 max-hops 3 edge-type 'F'", lambda _: edges)
+
+
+@query("graph_shortest_path", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4) SELECT min(depth)::INT AS depth, min(depth) IS NOT NULL AS found FROM w WHERE node = 42")
+def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = user_edges(spark, sf_dir)
+    return kql("edges | graph-shortest-path source 3 target 42 from src to dst max-hops 4", lambda _: edges)
+
+
+@query("graph_traverse", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 1), m AS (SELECT node, min(depth) + 1 AS depth FROM w GROUP BY node) SELECT e.src, e.dst, e.type, m.depth::INT AS depth FROM e JOIN m ON e.src = m.node")
+def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = user_edges(spark, sf_dir)
+    return kql("edges | graph-traverse source 7 from src to dst max-hops 2", lambda _: edges)
+
+
+@query("graph_match", "SELECT r_name AS a, n_name AS b, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    nodes = region.select(key("r", "r_regionkey").alias("id"), F.col("r_name").alias("name")).unionAll(nation.select(key("n", "n_nationkey"), "n_name")).unionAll(customer.select(key("c", "c_custkey"), "c_name"))
+    edges = nation.select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"), F.lit("HAS").alias("type")).unionAll(customer.select(key("n", "c_nationkey"), key("c", "c_custkey"), F.lit("HOSTS")))
+    return graph.match(nodes, edges, ["a", "b", "c"], ["HAS", "HOSTS"]).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("graph_components")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    return graph.star_components(edges)
+
+
+@query("graph_pagerank")
+def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(user_edges(spark, sf_dir), "src", "dst")
+
+
+@query("vector_top10", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS distance FROM embeddings, q ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), vec_id LIMIT 10")
+def vector_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    one = rows.where("vec_id = 0").select("embedding").first()["embedding"]
+    return retrieval.vector_topk(rows, one, "embedding", 10, "vec_id").select("vec_id", F.round("distance", 9).alias("distance"))
+
+
+BM25_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda t: length(t) >= 2) AS words FROM documents),
+c AS (SELECT doc_id, len(words) AS l, len(list_filter(words, lambda x: x = 'ther')) AS t0, len(list_filter(words, lambda x: x = 'tion')) AS t1 FROM w),
+s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c),
+b AS (SELECT doc_id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / m)) AS score FROM c, s)"""
+
+
+@query("bm25", f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM b WHERE score > 0")
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25(table(spark, sf_dir, "documents"), "ther tion", "text", "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("hybrid_rrf")
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical = retrieval.ranked(retrieval.bm25(table(spark, sf_dir, "documents"), "ther tion", "text", "doc_id"), [F.desc("score"), F.asc("id")], "text")
+    rows = table(spark, sf_dir, "embeddings")
+    one = rows.where("vec_id = 0").select("embedding").first()["embedding"]
+    near = retrieval.vector_topk(rows, one, "embedding", 50, "vec_id").select(F.col("vec_id").alias("id"), "distance")
+    return retrieval.fuse([lexical, retrieval.ranked(near, [F.asc("distance"), F.asc("id")], "vector")])
+
+
+@query("latest_version", "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts").select("user_id", "event_id", "ts", "event_type")
+
+
+@query("memory_recall", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT doc_id, round(0.7 * list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) + 0.3 * quality, 9) AS score FROM embeddings JOIN documents ON doc_id = vec_id JOIN labels USING (doc_id), q WHERE lang = 'en'")
+def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "documents").where("lang = 'en'").join(table(spark, sf_dir, "labels"), "doc_id").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    one = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()["embedding"]
+    distance = cosine_distance(F.col("embedding"), F.array([F.lit(float(x)) for x in one]))
+    return nodes.select("doc_id", F.round(retrieval.recall_score(distance, F.col("quality")), 9).alias("score"))
+
+
+@query("tokens", "SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda t: length(t) >= 2))::INT AS n FROM documents")
+def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
+
+
+@query("redaction")
+def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("text"))
+
+
+@query("union_tables", "SELECT 'c' AS __database, c_acctbal AS balance, c_nationkey AS nation FROM customer UNION ALL SELECT 's', s_acctbal, s_nationkey FROM supplier")
+def union_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name, p: table(spark, sf_dir, name).select(F.col(f"{p}_acctbal").alias("balance"), F.col(f"{p}_nationkey").alias("nation"))
+    return records.union_tables({"c": t("customer", "c"), "s": t("supplier", "s")})
+
+
+@query("json_lines", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    lines = events.select(F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("value"))
+    return records.json_lines(lines, {"event_id": "long", "k": "long"})
+
+
+@query("references_to", "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\" WHERE EXISTS (FROM customer WHERE c_mktsegment = 'BUILDING')")
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.references_to({t: table(spark, sf_dir, t) for t in ("customer", "nation", "part", "orders")}, "BUILDING")
