@@ -17,11 +17,11 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 from oxbow.llm import vocabulary
+from oxbow.llm.pretokens import splitter
 
 #: Pre-tokens whose ids a worker remembers; beyond this it forgets all and starts anew.
 CACHE = 600_000
@@ -38,7 +38,7 @@ class Encoder:
         for b, i in ranks.items():
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self._halves: dict[int, tuple[int, int]] = {}
         self._fits: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}

@@ -16,13 +16,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
-from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oxbow.llm import vocabulary
+from oxbow.llm.pretokens import splitter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -42,7 +41,7 @@ class Ids:
         about = json.loads(data)
         before = about.get("pre_tokenizer") or {}
         self.by_piece = about.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.split = regex.compile(PATTERN).findall
+        self.split = splitter()
         self.known: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
