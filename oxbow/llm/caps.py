@@ -211,7 +211,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     their own length only. Rows that repeat an id are vectors of their own, linked if near; a null
     id has a null component and, like any, n_links. Other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("own_id"), F.col(vector_col).cast("array<double>").alias("v"), usable(F.col(vector_col)).alias("ok"))
+    rows = df.select(F.col(id_col).cast("long").alias("own_id"), F.col(vector_col).alias("v"), usable(F.col(vector_col)).alias("ok"))
+    kind = rows.schema["v"].dataType.simpleString()
     distinct = rows.where("ok").groupBy("v").agg(F.min("own_id").alias("least"), F.count("*").alias("weight"))
     # ids of the classes are their smallest row ids, made unique where a row id repeats or is null
     classes = checkpointed(distinct.select(F.monotonically_increasing_id().alias("id"), "least", "weight", "v", F.size("v").alias("dim")))
@@ -223,7 +224,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                raw = matrix(part.column("v"))
+                raw = matrix(part.column("v")).astype(np.float64)
                 alpha, words, _ = plans[int(dim)]
                 unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
                 code = directions(int(dim), words)
@@ -236,7 +237,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                     lists = np.split(found, np.cumsum(counts[k : k + 2048])[:-1])
                     yield pa.RecordBatch.from_arrays([part.column("id").slice(k, 2048), part.column("weight").slice(k, 2048), part.column("v").slice(k, 2048), pa.array(lists, pa.list_(pa.int64()))], ["id", "weight", "v", "filters"])
 
-    listed = classes.select("id", "weight", "v", "dim").mapInArrow(list_filters, "id long, weight long, v array<double>, filters array<long>")
+    listed = classes.select("id", "weight", "v", "dim").mapInArrow(list_filters, f"id long, weight long, v {kind}, filters array<long>")
     entries = listed.select("id", "weight", "v", "filters", F.explode("filters").alias("filter"))
     crowds = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("members")).where("members > 1")
     parts = F.ceil(F.col("members") / SPLIT).cast("int")
