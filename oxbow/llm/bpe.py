@@ -21,6 +21,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 from oxbow.llm import vocabulary
+from oxbow.llm.caches import held
 from oxbow.llm.pretokens import splitter
 
 #: Pre-tokens whose ids a worker remembers; beyond this it forgets all and starts anew.
@@ -133,15 +134,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder_of(data: bytes) -> Encoder:
-    """The worker's encoder of this rank file, built once."""
-    if (key := hash(data)) not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder.from_rank_file(data)
-    return _encoders[key]
+    """The worker's encoder of this rank file."""
+    return held(("bpe", hash(data)), lambda: Encoder.from_rank_file(data))
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:

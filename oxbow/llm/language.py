@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.llm.caches import release
 from oxbow.llm.samples import labelled_texts, remainder
 
 HIDDEN = 8
@@ -194,6 +195,7 @@ def identify_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from oxbow.llm.packing import portions
 
+        release()
         model = shared.value
         for batch in batches:
             found, scores = [], []

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.llm.caches import release
 from oxbow.llm.groups import PAIR, split_in_pairs, whole_groups
 from oxbow.llm.hashing import mix, prefix_sums, range_hash
 from oxbow.operators.components import star_components
@@ -147,6 +148,7 @@ def fine_bound(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, raw: list[bytes]
 
 def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """(doc, n, print, point, fine, frequent) of the documents (doc, data): size, fingerprint and point of each set; on a batch's last row, the counts of grams in two of its documents or more."""
+    release()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -215,6 +217,7 @@ def level_of(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
 def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tuple[int, int], parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(part, records) of the documents (doc, data): the grams by which each can meet others. Of equal sets in a batch only the first goes."""
     over, under = threshold
+    release()
     for batch in batches:
         docs, found = batch.column(0).to_numpy(), []
         seen: set[tuple[int, int]] = set()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oxbow.llm import vocabulary
+from oxbow.llm.caches import held
 from oxbow.llm.pretokens import splitter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -62,14 +63,8 @@ class Ids:
             yield b"".join(map(known.__getitem__, found))
 
 
-_ids: dict[int, Ids] = {}
-
-
 def ids_of(data: bytes) -> Ids:
-    if (key := hash(data)) not in _ids:
-        _ids.clear()
-        _ids[key] = Ids(data)
-    return _ids[key]
+    return held(("packing", hash(data)), lambda: Ids(data))
 
 
 def portions(texts: pa.Array) -> Iterator[list[str]]:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.llm.caches import held
 from oxbow.llm.samples import labelled_texts, remainder
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -35,7 +36,7 @@ RATE = 4.0
 PER_LABEL = 2000
 #: Documents score 1 from here on.
 THRESHOLD = 0.3
-CACHE = 1_000_000
+CACHE = 400_000
 LONGEST_WORD = 64
 
 
@@ -151,9 +152,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """id_col, score, predicted for every row of `df` (and the columns in `keep`); no shuffle.
 
@@ -165,10 +163,7 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from oxbow.llm.packing import portions
 
-        if id(shared.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(shared.value)] = Scorer(shared.value)
-        scorer = _scorers[id(shared.value)]
+        scorer = held(("quality", id(shared.value)), lambda: Scorer(shared.value))
         for batch in batches:
             scores = [s for part in portions(batch.column("scored_text")) for s in scorer.scores(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*batch.schema.names[1:], "score"])

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.llm.caches import release
 from oxbow.llm.hashing import both_powers, mix
 from oxbow.session import checkpointed
 
@@ -176,6 +177,7 @@ def marks_of(records: np.ndarray) -> np.ndarray:
 
 def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, records, marks) of the documents (doc, data)."""
+    release()
     for batch in batches:
         docs, column = batch.column(0).to_numpy(), batch.column(1)
         found, begin = [], 0
