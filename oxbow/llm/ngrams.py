@@ -72,13 +72,12 @@ def gram_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nd
     owner = np.searchsorted(ends, start, side="right")
     counts = np.bincount(owner, minlength=len(texts))
     factor = np.uint64(0xD6E8FEB86659FD93)
-    total = np.zeros(len(word), np.uint64)
+    n = max(0, len(word) - words + 1)
+    total = np.zeros(n, np.uint64)
     for j in range(words):
-        total[: len(word) - j] = total[: len(word) - j] * factor + word[j:]
-    full = np.zeros(len(word), bool)
-    if len(word) >= words:
-        full[: len(word) - words + 1] = owner[: len(word) - words + 1] == owner[words - 1 :]
-    grams, of = mix(total[full]), owner[full]
+        total = total * factor + word[j : j + n]
+    full = owner[:n] == owner[len(word) - n :]
+    grams, of = mix(total[full]), owner[:n][full]
     few = np.flatnonzero((counts > 0) & (counts < words))
     if len(few):
         firsts = np.searchsorted(owner, few)
