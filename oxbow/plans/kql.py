@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 
 from oxbow.functions import vectors
 from oxbow.operators import graph
+from oxbow.operators.patterns import Graph, Hop, Pattern, match_pattern
+from oxbow.plans.chains import ChainReader
+from oxbow.plans.reader import QueryError, Reader, literal, quoted
 
 TOKEN = re.compile(
     r"""\s+|//[^\n]*|(?P<number>\d+\.\d+|\d+(?P<unit>[smhd])\b|\d+)|(?P<string>"(?:\\.|[^"\\])*"|'[^']*')"""
@@ -31,7 +34,7 @@ ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", '"': '"'}
 NAMED = {"tolower": "lower", "toupper": "upper", "strlen": "char_length", "tostring": "string", "toint": "int", "tolong": "bigint", "todouble": "double"}
 
 
-class KqlError(ValueError):
+class KqlError(QueryError):
     pass
 
 
@@ -55,51 +58,21 @@ def tokens_of(text: str) -> list[tuple[str, str]]:
     return found
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def alias_of(expression: str) -> str:
     """The implicit name of an aggregate: its text with other characters as underscores."""
     return re.sub(r"[^A-Za-z0-9]", "_", expression).strip("_")[:40]
 
 
-class Compiler:
+class Compiler(Reader):
     """Reads tokens from left to right; `table` gives the DataFrame of a name."""
 
-    def __init__(self, text: str, table: Callable[[str], DataFrame], graph_nodes: Callable[[str], DataFrame] | None = None) -> None:
-        self.tokens, self.at, self.table = tokens_of(text), 0, table
-        self.df: DataFrame | None = None
+    Error = KqlError
 
-    # reading
-    def peek(self, value: str | None = None, kind: str | None = None) -> bool:
-        if self.at >= len(self.tokens):
-            return False
-        k, v = self.tokens[self.at]
-        return (kind is None or k == kind) and (value is None or (k != "string" and v.lower() == value))
-
-    def take(self, value: str | None = None, kind: str | None = None) -> str:
-        if not self.peek(value, kind):
-            found = self.tokens[self.at][1] if self.at < len(self.tokens) else "the end"
-            raise KqlError(f"expected {value or kind}, found {found!r}")
-        self.at += 1
-        return self.tokens[self.at - 1][1]
-
-    def maybe(self, value: str) -> bool:
-        if self.peek(value):
-            self.at += 1
-            return True
-        return False
-
-    def listed(self, read: Callable[[], object]) -> list:
-        out = [read()]
-        while self.maybe(","):
-            out.append(read())
-        return out
+    def __init__(self, text: str, table: Callable[[str], DataFrame]) -> None:
+        super().__init__(tokens_of(text))
+        self.table = table
+        self.df: DataFrame | None = None
+        self.graph: Graph | None = None
 
     # expressions, as Spark SQL
     def expression(self) -> str:
@@ -407,11 +380,6 @@ class Compiler:
                 out[word] = self.take(kind="name")
         return out
 
-    def value(self) -> object:
-        kind, value = self.tokens[self.at]
-        self.at += 1
-        return int(value) if kind == "number" and "." not in value else value
-
     def do_graph_traverse(self) -> None:
         w = self.graph_words()
         self.df = graph.traverse(self.df, as_list(w["source"]), w["from"], w["to"], w["max-hops"], w.get("direction", "forward"), w.get("edge-type"))
@@ -424,6 +392,73 @@ class Compiler:
         w = self.graph_words()
         self.df = graph.shortest_path(self.df, w["source"], w["target"], w["from"], w["to"], w["max-hops"], w.get("direction", "forward"))
 
+    def do_make_graph(self) -> None:
+        """`make-graph src --> dst with Nodes on id`: the rows become the edges of a graph."""
+        src = self.take(kind="name")
+        self.take("-->")
+        dst = self.take(kind="name")
+        self.take("with")
+        nodes = self.branch()
+        self.take("on")
+        self.graph = Graph(nodes, self.df, self.take(kind="name"), src, dst)
+
+    def returned(self) -> list:
+        """`project v.c [as x], ...`, by default named v_c."""
+        self.take("project")
+
+        def one() -> object:
+            var = self.take(kind="name")
+            self.take(".")
+            column = self.take(kind="name")
+            return F.col(quoted(f"{var}_{column}")).alias(self.take(kind="name") if self.maybe("as") else f"{var}_{column}")
+
+        return self.listed(one)
+
+    def bound_graph(self) -> Graph:
+        if self.graph is None:
+            raise KqlError("make-graph comes first")
+        return self.graph
+
+    def do_graph_match(self) -> None:
+        """Chains, separated by commas, each possibly `optional`; a variable met twice is one node."""
+        chains = ChainReader(self, self.bound_graph())
+        self.listed(lambda: chains.chain(self.maybe("optional")))
+        self.df = match_pattern(self.graph, chains.pattern).select(*self.returned())
+
+    def do_graph_var_match(self) -> None:
+        """(a)-[r:T]->(b) min-hops M max-hops N [direction d] project ...: pairs by their shortest distance."""
+        chains = ChainReader(self, self.bound_graph())
+        chains.chain()
+        hop, words = chains.pattern.hops[0], {"min-hops": 1, "max-hops": None, "direction": hop_direction(chains.pattern)}
+        while not self.peek("project"):
+            word = self.take(kind="name").lower()
+            if word not in words:
+                raise KqlError(f"unexpected {word!r}")
+            words[word] = self.take() if word == "direction" else int(self.take(kind="number"))
+        if words["max-hops"] is None:
+            raise KqlError("max-hops is missing")
+        far = Hop(hop.a, hop.b, hop.var, hop.kind, words["direction"], words["min-hops"], words["max-hops"])
+        self.df = match_pattern(self.graph, Pattern([far], chains.pattern.nodes)).select(*self.returned())
+
+    # further operators
+    def do_mv_expand(self) -> None:
+        """One row per element of an array column; rows with an empty or null array go."""
+        name = self.take(kind="name")
+        self.df = self.df.withColumn(name, F.explode(quoted(name)))
+
+    def do_project_rename(self) -> None:
+        def one() -> tuple[str, str]:
+            new = self.take(kind="name")
+            self.take("=")
+            return new, self.take(kind="name")
+
+        for new, old in self.listed(one):
+            self.df = self.df.withColumnRenamed(old, new)
+
+
+def hop_direction(pattern: Pattern) -> str:
+    return pattern.hops[0].direction
+
 
 def as_list(x: object) -> list:
     return x if isinstance(x, list) else [x]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oxbow.functions.text import redact, tokens
 from oxbow.functions.vectors import cosine_distance
-from oxbow.operators import graph, retrieval
+from oxbow.operators import communities, evaluation, graph, ivf, memory, retrieval, stored_graph
+from oxbow.operators.patterns import Graph
+from oxbow.plans import search_bar
+from oxbow.plans.cypher import cypher
 from oxbow.plans.kql import kql
 from oxbow.session import table
 from oxbow.sources import records
@@ -101,13 +104,90 @@ def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kql("edges | graph-traverse source 7 from src to dst max-hops 2", lambda _: edges)
 
 
+def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions, nations, customers and suppliers, with HAS, HOSTS and SEATS edges."""
+    t = lambda name: table(spark, sf_dir, name)
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    none = F.lit(None).cast("double")
+    nodes = (
+        t("region").select(key("r", "r_regionkey").alias("id"), F.lit("Region").alias("label"), F.col("r_name").alias("name"), none.alias("balance"))
+        .unionAll(t("nation").select(key("n", "n_nationkey"), F.lit("Nation"), "n_name", none))
+        .unionAll(t("customer").select(key("c", "c_custkey"), F.lit("Customer"), "c_name", "c_acctbal"))
+        .unionAll(t("supplier").select(key("s", "s_suppkey"), F.lit("Supplier"), "s_name", "s_acctbal"))
+    )
+    edges = (
+        t("nation").select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"), F.lit("HAS").alias("type"))
+        .unionAll(t("customer").select(key("n", "c_nationkey"), key("c", "c_custkey"), F.lit("HOSTS")))
+        .unionAll(t("supplier").select(key("n", "s_nationkey"), key("s", "s_suppkey"), F.lit("SEATS")))
+    )
+    return Graph(nodes, edges)
+
+
 @query("graph_match", "SELECT r_name AS a, n_name AS b, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
 def graph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    nodes = region.select(key("r", "r_regionkey").alias("id"), F.col("r_name").alias("name")).unionAll(nation.select(key("n", "n_nationkey"), "n_name")).unionAll(customer.select(key("c", "c_custkey"), "c_name"))
-    edges = nation.select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"), F.lit("HAS").alias("type")).unionAll(customer.select(key("n", "c_nationkey"), key("c", "c_custkey"), F.lit("HOSTS")))
-    return graph.match(nodes, edges, ["a", "b", "c"], ["HAS", "HOSTS"]).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
+    g = trade_graph(spark, sf_dir)
+    return graph.match(g.nodes, g.edges, ["a", "b", "c"], ["HAS", "HOSTS"]).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
+
+
+def graph_piped(name: str, text: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = trade_graph(spark, sf_dir)
+        return kql(text, lambda t: {"edges": g.edges, "nodes": g.nodes}[t])
+
+    query(name, sql)(run)
+
+
+graph_piped("kql_graph_match", "edges | make-graph src --> dst with nodes on id | graph-match (r:Region)-[:HAS]->(n)-[e:HOSTS]->(c) project r.name, c.id as customer, e.type | summarize n = count(), most = max(customer) by r_name, e_type", "SELECT r_name, 'HOSTS' AS e_type, count(*) AS n, max('c' || c_custkey) AS most FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
+graph_piped("kql_graph_match_optional", "edges | make-graph src --> dst with nodes on id | graph-match (r)-[:HAS]->(n), optional (n)-[:SEATS]->(s) project n.name, s.name as supplier", "SELECT n_name, s_name AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
+graph_piped("kql_graph_var_match", "edges | make-graph src --> dst with nodes on id | graph-var-match (a:Region)-[r]->(b) min-hops 2 max-hops 2 project a.name as region, b.label as label, r.depth | summarize n = count() by region, label, r_depth", "SELECT r_name AS region, label, 2 AS r_depth, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN (SELECT c_nationkey AS k, 'Customer' AS label FROM customer UNION ALL SELECT s_nationkey, 'Supplier' FROM supplier) ON k = n_nationkey GROUP BY ALL")
+
+
+def cypher_query(name: str, text: str, sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: cypher(text, trade_graph(spark, sf_dir)))
+
+
+cypher_query("cypher_chain", "MATCH (r:Region)-[:HAS]->(n)-[:HOSTS]->(c:Customer) WHERE c.balance > 9000 AND r.name IN ['ASIA', 'EUROPE'] RETURN r.name, n.name AS nation, c.id", "SELECT r_name, n_name AS nation, 'c' || c_custkey AS c_id FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 AND r_name IN ('ASIA', 'EUROPE')")
+cypher_query("cypher_backward", "MATCH (c:Customer)<-[:HOSTS]-(n)<-[:HAS]-(r) WHERE NOT n.name STARTS WITH 'A' RETURN DISTINCT r.name, n.name", "SELECT DISTINCT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE NOT starts_with(n_name, 'A')")
+cypher_query("cypher_star", "MATCH (n:Nation)-[:HOSTS]->(c), (n)-[:SEATS]->(s) RETURN n.id, count(*) AS pairs, max(c.balance) AS best", "SELECT 'n' || n_nationkey AS n_id, count(*) AS pairs, max(c_acctbal) AS best FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+cypher_query("cypher_optional", "MATCH (r:Region)-[:HAS]->(n) OPTIONAL MATCH (n)-[:SEATS]->(s) RETURN n.name, count(s) AS suppliers", "SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
+cypher_query("cypher_var_length", "MATCH (r:Region)-[*1..2]->(x) RETURN r.name, x.label, count(*) AS n", "SELECT r_name, x_label, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN (SELECT n_nationkey AS k, 'Nation' AS x_label FROM nation UNION ALL SELECT c_nationkey, 'Customer' FROM customer UNION ALL SELECT s_nationkey, 'Supplier' FROM supplier) ON k = n_nationkey GROUP BY ALL")
+cypher_query("cypher_undirected", "MATCH (n:Nation)-[e]-(x) RETURN n.name, e.type, count(x) AS n", "SELECT n_name, e_type, count(*) AS n FROM nation JOIN (SELECT n_nationkey AS k, 'HAS' AS e_type FROM nation UNION ALL SELECT c_nationkey, 'HOSTS' FROM customer UNION ALL SELECT s_nationkey, 'SEATS' FROM supplier) ON k = n_nationkey GROUP BY ALL")
+cypher_query("cypher_with", "MATCH (n:Nation)-[:HOSTS]->(c) WITH n, count(c) AS customers, sum(c.balance) AS total WHERE customers > 5 AND total > 0 RETURN n.name, customers", "SELECT n_name, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name HAVING count(*) > 5 AND sum(c_acctbal) > 0")
+cypher_query("cypher_arithmetic", "MATCH (n)-[:SEATS]->(s) RETURN s.id, s.balance * 2 + 1 AS twice ORDER BY s.balance DESC, s.id LIMIT 7", "SELECT 's' || s_suppkey AS s_id, s_acctbal * 2 + 1 AS twice FROM supplier ORDER BY s_acctbal DESC, 's' || s_suppkey LIMIT 7")
+cypher_query("cypher_shortest", "MATCH p = shortestPath((a)-[*..4]->(b)) WHERE a.id = 'r0' AND b.id = 'c1' RETURN length(p)", "SELECT max(2) FILTER (n_regionkey = 0)::INT AS depth FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1")
+
+
+@query("graph_k_hop", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 89 AS dst FROM orders), w(source, node, d) AS (SELECT s, s, 0 FROM (VALUES (2::BIGINT), (11::BIGINT)) v(s) UNION SELECT w.source, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node WHERE w.d < 2) SELECT source, node, min(d)::INT AS dist FROM w GROUP BY source, node")
+def graph_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = user_edges(spark, sf_dir)
+    return graph.k_hop(graph.steps(edges, "src", "dst"), graph.seeds(edges, [2, 11], "src"), 2)
+
+
+@query("graph_modularity", "WITH e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 89 AS dst, o_orderstatus AS type FROM orders), t AS (SELECT count(*) AS m, count(*) FILTER (src % 5 = dst % 5) AS i FROM e), d AS (SELECT c, count(*) AS n FROM (SELECT src % 5 AS c FROM e UNION ALL SELECT dst % 5 FROM e) GROUP BY c) SELECT round(any_value(i) / any_value(m) - sum(n * n) / (4.0 * any_value(m) * any_value(m)), 9)::DOUBLE AS modularity FROM t, d")
+def graph_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = user_edges(spark, sf_dir)
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", (F.col("node") % 5).alias("community"))
+    return graph.modularity(edges, nodes, "src", "dst").select(F.round("modularity", 9).alias("modularity"))
+
+
+@query("graph_communities")
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities.detect_communities(trade_graph(spark, sf_dir).edges, levels=2)
+
+
+@query("graph_stats", "SELECT 'node' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'node', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'edge', 'HAS', count(*) FROM nation UNION ALL SELECT 'edge', 'HOSTS', count(*) FROM customer UNION ALL SELECT 'edge', 'SEATS', count(*) FROM supplier")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_graph.stats(stored_graph.built(trade_graph(spark, sf_dir)))
+
+
+@query("graph_degrees", "WITH e AS (SELECT 'r' || n_regionkey AS s, 'n' || n_nationkey AS d FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), k AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier), o AS (SELECT s, count(*) AS n FROM e GROUP BY s), i AS (SELECT d, count(*) AS n FROM e GROUP BY d) SELECT id, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming FROM k LEFT JOIN o ON s = id LEFT JOIN i ON d = id")
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_graph.degrees(trade_graph(spark, sf_dir))
+
+
+@query("graph_subgraph", "SELECT 'r1' AS src, 'n' || n_nationkey AS dst, 'HAS' AS type FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'HOSTS' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'SEATS' FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1")
+def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_graph.subgraph(trade_graph(spark, sf_dir), ["r1"], 2).edges.select("src", "dst", "type")
 
 
 @query("graph_components")
@@ -187,3 +267,75 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("references_to", "SELECT 'customer' AS \"table\", 'c_mktsegment' AS \"column\" WHERE EXISTS (FROM customer WHERE c_mktsegment = 'BUILDING')")
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.references_to({t: table(spark, sf_dir, t) for t in ("customer", "nation", "part", "orders")}, "BUILDING")
+
+
+@query("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def sql_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("sql_semi_anti", "SELECT c_custkey, EXISTS (FROM orders WHERE o_custkey = c_custkey) AS buys FROM customer")
+def sql_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return customer.join(orders, "c_custkey", "left_semi").withColumn("buys", F.lit(True)).unionAll(customer.join(orders, "c_custkey", "left_anti").withColumn("buys", F.lit(False)))
+
+
+@query("sql_set_all", "(SELECT l_quantity AS q FROM lineitem WHERE l_returnflag = 'A') EXCEPT ALL (SELECT l_quantity FROM lineitem WHERE l_returnflag = 'R')")
+def sql_set_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.where("l_returnflag = 'A'").select(F.col("l_quantity").alias("q")).exceptAll(rows.where("l_returnflag = 'R'").select("l_quantity"))
+
+
+@query("sql_page", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20 OFFSET 40")
+def sql_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name").orderBy("p_partkey").offset(40).limit(20)
+
+
+@query("search_bar", "SELECT event_id, ts, user_id, event_type, value, props FROM events WHERE contains(lower(coalesce(event_type, '') || ' ' || coalesce(props, '')), 'k') AND value > 50 AND event_type <> 'click' AND user_id IS NOT NULL")
+def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    condition, _ = search_bar.compiled(search_bar.parse("k value:>50 -event_type:click user_id:* nothing:1"), events.schema)
+    return events.where(condition)
+
+
+@query("ann_topk")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    cells = ivf.Cells.fit(rows, "vec_id", "embedding")
+    one = rows.where("vec_id = 0").select("embedding").first()["embedding"]
+    return ivf.ann_topk(ivf.build_index(rows, cells, "vec_id", "embedding"), cells, one)
+
+
+@query("keyword_score", "SELECT doc_id, (contains(lower(text), 'ther')::INT + contains(lower(text), 'tion')::INT) AS score FROM documents WHERE contains(lower(text), 'ther') OR contains(lower(text), 'tion')")
+def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", memory.keyword_score("ther TION ther a", "text").alias("score")).where("score > 0")
+
+
+@query("memory_blend", "SELECT doc_id, round(0.4 * coalesce(quality, 0) + 0.3 * exp(-ln(2) * (doc_id % 90) / 30.0) + 0.3 * contains(lower(text), 'tion')::INT, 9)::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id)")
+def memory_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    none = F.lit(None).cast("double")
+    score = memory.blend(none, none, memory.keyword_score("tion", "text"), none, F.col("quality").cast("double"), (F.col("doc_id") % 90).cast("double"))
+    return rows.select("doc_id", F.round(score, 9).alias("score"))
+
+
+@query("memory_salience", "SELECT c_custkey, round(CASE WHEN c_nationkey = 0 THEN 1 ELSE exp(-ln(2) * c_nationkey / greatest(7.5, least(120, 30 * (1 + 0.3 * ln(1 + c_custkey % 50) - 0.3 * ln(1 + c_custkey % 31))))) END, 9)::DOUBLE AS salience FROM customer")
+def memory_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(memory.salience(F.col("c_nationkey"), F.col("c_custkey") % 50, F.col("c_custkey") % 31), 9).alias("salience"))
+
+
+@query("chunks")
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(memory.chunks(F.col("text"))).alias("part", "chunk"))
+
+
+@query("ranking_quality", "WITH j AS (SELECT user_id AS query, event_id AS id, value FROM events), r AS (SELECT query, id, value, row_number() OVER (PARTITION BY query ORDER BY id) AS rank FROM j) SELECT query, (count(*) FILTER (rank <= 10 AND value > 50) / count(*) FILTER (value > 50))::DOUBLE AS recall, coalesce(1.0 / min(rank) FILTER (rank <= 10 AND value > 50), 0)::DOUBLE AS mrr FROM r GROUP BY query")
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("id"), (F.col("value") > 50).cast("int").alias("grade"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id"))).where("rank <= 10")
+    return evaluation.ranking_quality(ranked, rows).select("query", "recall", "mrr")
+
+
+@query("percentiles", "SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
+def value_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.percentiles(table(spark, sf_dir, "events"), "value")
