@@ -43,6 +43,7 @@ class Pattern:
 
     hops: list[Hop] = field(default_factory=list)
     nodes: dict[str, str | None] = field(default_factory=dict)
+    alone: list[str] = field(default_factory=list)  # required nodes given without a hop
 
     def node(self, var: str, condition: str | None) -> str:
         known = self.nodes.get(var)
@@ -94,7 +95,13 @@ def match_pattern(graph: Graph, pattern: Pattern) -> DataFrame:
     key = lambda var: F.col(f"{var}_{graph.id_col}")
     tables = {v: prefixed(graph.nodes.where(c) if c else graph.nodes, v) for v, c in pattern.nodes.items()}
     out, bound = None, set()
-    for hop in ordered(pattern.hops):
+    hops = ordered(pattern.hops)
+    needed = {v for h in hops if not h.optional for v in (h.a, h.b)}
+    for var in dict.fromkeys(pattern.alone):
+        if var not in needed:
+            out = tables[var] if out is None else out.crossJoin(tables[var])
+            bound.add(var)
+    for hop in hops:
         if hop.b in bound and hop.a not in bound:  # walk from the bound end
             turned = {"forward": "backward", "backward": "forward"}.get(hop.direction, "both")
             hop = Hop(hop.b, hop.a, hop.var, hop.kind, turned, hop.least, hop.most, hop.optional)
@@ -113,7 +120,6 @@ def match_pattern(graph: Graph, pattern: Pattern) -> DataFrame:
             out = part if out is None else out.crossJoin(part)
         out = out.drop("_from", "_to")
         bound |= {hop.a, hop.b}
-    for var in pattern.nodes:
-        if var not in bound:
-            out = tables[var] if out is None else out.crossJoin(tables[var])
+    if set(pattern.nodes) - bound:
+        raise ValueError("an optional node needs a hop from a bound one")
     return out

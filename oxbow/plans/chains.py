@@ -80,5 +80,7 @@ class ChainReader:
             self.pattern.hops.append(Hop(a, b, var, kind, direction, least, most, optional))
             a = b
         mine = self.pattern.hops[first:]
+        if not mine and not optional:
+            self.pattern.alone.append(a)
         if len(mine) > 1 and any(h.least is not None for h in mine):
             raise self.r.Error("a hop of variable length stands alone")
