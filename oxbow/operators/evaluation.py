@@ -20,7 +20,7 @@ def ranking_quality(ranked: DataFrame, judged: DataFrame, k: int = 10, exponenti
     best = good.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "id"))).where(F.col("place") <= k)  # the limit is applied before the shuffle
     ideal = best.groupBy("query").agg(F.sum(gain(F.col("grade"), exponential) * worth(F.col("place"))).alias("ideal"))
     ideal = good.groupBy("query").agg(F.count("*").alias("relevant")).join(ideal, "query")
-    hits = ranked.where(F.col("rank") <= k).join(good, ["query", "id"]).groupBy("query").agg(F.sum(gain(F.col("grade"), exponential) * worth(F.col("rank"))).alias("dcg"), F.count("*").alias("hits"), F.min("rank").alias("first"))
+    hits = ranked.where(F.col("rank") <= k).select("query", "id", "rank").join(good, ["query", "id"]).groupBy("query").agg(F.sum(gain(F.col("grade"), exponential) * worth(F.col("rank"))).alias("dcg"), F.count("*").alias("hits"), F.min("rank").alias("first"))
     rows = judged.select("query").distinct().join(ideal, "query", "left").join(hits, "query", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return rows.select("query", zero(F.col("hits") / F.col("relevant")).alias("recall"), zero(F.col("dcg") / F.col("ideal")).alias("ndcg"), zero(1.0 / F.col("first")).alias("mrr"))

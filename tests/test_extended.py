@@ -179,3 +179,27 @@ def test_storage(spark, tmp_path):
     assert storage.promoted(df, target).columns == ["id", "extra"]
     with pytest.raises(ValueError):
         storage.promoted(df.withColumn("id", F.lit("x")), target)
+
+
+def test_guard(spark):
+    from oxbow.plans import guard
+    from oxbow.plans.reader import QueryError
+
+    page = guard.run_sql(spark, "SELECT id FROM range(10) ORDER BY id", 3)
+    assert [r["id"] for r in page.rows] == [0, 1, 2] and page.truncated and page.columns == ["id"]
+    assert not guard.run_sql(spark, "with t as (select 1 as x) select * from t").truncated
+    for bad in ("DROP TABLE x", "", "insert into t values (1)"):
+        with pytest.raises(QueryError):
+            guard.checked(bad)
+
+
+def test_tail_windows_tile(spark):
+    from oxbow.streaming import tail
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    df = spark.sql("SELECT id, timestamp_ntz '2024-01-01' + make_dt_interval(cast(id AS int)) AS ts FROM range(6)")
+    sources, cursor, seen = {"t": (df, "ts"), "untimed": (df, None)}, day(1), []
+    for now in (day(3), day(3), day(4), day(9)):
+        found, cursor = tail.tail_step(sources, cursor, now)
+        seen += [r["id"] for d in found.values() for r in d.collect()]
+    assert sorted(seen) == list(range(6)) and cursor == day(9)
