@@ -1,16 +1,18 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Filters are the words of a random product code: the space is cut into two halves, each has its own
-set of random directions, and a filter is a pair of them. A vector belongs to every filter whose
+Filters are the words of random product codes: a code turns the space by its own random rotation and
+cuts it into two halves, each has its own set of random directions, and a filter is a pair of them. A vector belongs to every filter whose
 cap of height `alpha` holds it. Thanks to the product these are listed without trying all filters:
 both halves are scored, and only pairs whose sum reaches alpha are decoded. Vectors are joined on
 filters and pairs verified by cosine in double precision. A pair met in several filters counts in
 the smallest that both share.
 
-alpha and the number of filters follow the number of distinct vectors n: a random vector shares a
-filter with a fixed number of others (CROWD) at any n, and the number of filters is chosen so that
-each vector is in about COVER of them; a pair at the threshold then shares at least one with
-probability above 0.99 in 64 dimensions (measured in the tests).
+alpha and the filters of a code follow the number of distinct vectors n: a filter holds a fixed number
+of vectors (CROWD) at any n, and each vector is in about COVER filters of a code. Filters of one code
+share half-directions, so whether a pair at the threshold shares one of them is measured on drawn
+pairs; by the rotation it is the same for any pair of that cosine, however its squared norm is spread.
+As codes are independent, so many are taken that all miss the pair with probability MISS at most; that
+counts the vectors without a filter of a code too.
 
 Equal vectors are first collapsed to one with a weight. Filters with more than SPLIT members are
 split into pairs of sub-blocks, so no task holds more than 2 * SPLIT members of one filter; within a
@@ -28,16 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.llm.caches import held
 from oxbow.llm.vectors import matrix, usable
 from oxbow.operators.components import star_components
 from oxbow.session import checkpointed
 
 CROWD = 6.0
-COVER = 32.0
+COVER = 2.0
+MISS = 0.002
+#: Filters are numbered by dimension, code (7 bits) and pair of directions (37 bits).
+MOST_CODES = 128
 SPLIT = 2048
 #: From this size on, a group's shared filters are found by one matrix product.
 CROWDED = 24
-LEAST_ALPHA, MOST_ALPHA = 0.42, 0.8
+LEAST_ALPHA, MOST_ALPHA = 0.0, 0.8
 
 
 def cap_share(alpha: float, dim: int) -> float:
@@ -48,20 +54,43 @@ def cap_share(alpha: float, dim: int) -> float:
     return float(area(angle) / area(whole))
 
 
-def parameters(n: int, dim: int) -> tuple[float, int]:
-    """alpha, and the directions in each half."""
+def parameters(n: int, dim: int, threshold: float) -> tuple[float, int, int]:
+    """alpha, the directions in each half of a code, and the codes."""
     low, high = LEAST_ALPHA, MOST_ALPHA
     for _ in range(40):
         alpha = (low + high) / 2
         low, high = (alpha, high) if cap_share(alpha, dim) * n > CROWD else (low, alpha)
-    return low, max(2, math.ceil(math.sqrt(COVER / cap_share(low, dim))))
-
-
-def directions(dim: int, words: int, seed: int = 3) -> list[np.ndarray]:
-    """The directions of both halves, of length sqrt(1/2) each."""
-    rng = np.random.default_rng([seed, dim, words])
+    while True:
+        words = max(2, math.ceil(math.sqrt(COVER / cap_share(low, dim))))
+        missed = 1 - share_rate(low, words, dim, threshold)
+        codes = max(1, math.ceil(math.log(MISS) / math.log(missed))) if 0 < missed < 1 else 1 if missed == 0 else MOST_CODES + 1
+        if codes <= MOST_CODES:
+            return low, words, codes
+        low -= 0.02
+
+
+def share_rate(alpha: float, words: int, dim: int, threshold: float, pairs: int = 1000, trials: int = 4) -> float:
+    """Share of random pairs of cosine `threshold` that have a filter of one code in common."""
+    rng = np.random.default_rng([7, dim, words])
+    found = 0
+    for trial in range(trials):
+        x, y = rng.standard_normal((2, pairs, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * y
+        _, *code = directions(dim, words, trial, seed=5)
+        sides = [row * words**2 + filters for row, filters in (decode(v.astype(np.float32), code, alpha) for v in (x, y))]
+        found += len(np.unique(np.intersect1d(*sides) // words**2))
+    return found / (pairs * trials)
+
+
+def directions(dim: int, words: int, code: int, seed: int = 3) -> list[np.ndarray]:
+    """The rotation of a code, and the directions of both halves, of length sqrt(1/2) each."""
+    rng = np.random.default_rng([seed, dim, words, code])
+    turn, signs = np.linalg.qr(rng.standard_normal((dim, dim)))
     halves = [rng.standard_normal((size, words)) for size in (dim // 2, dim - dim // 2)]
-    return [(x / np.linalg.norm(x, axis=0) / math.sqrt(2)).astype(np.float32) for x in halves]
+    return [(turn * np.sign(np.diag(signs))).astype(np.float32), *((x / np.linalg.norm(x, axis=0) / math.sqrt(2)).astype(np.float32) for x in halves)]
 
 
 def decode(vectors: np.ndarray, code: list[np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +246,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     # ids of the classes are their smallest row ids, made unique where a row id repeats or is null
     classes = checkpointed(distinct.select(F.monotonically_increasing_id().alias("id"), "least", "weight", "v", F.size("v").alias("dim")))
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row per vector length
-    plans = {dim: (*parameters(n, dim), n) for dim, n in sizes.items()}
+    plans = {dim: parameters(n, dim, threshold) for dim, n in sizes.items()}
 
     def list_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,12 +254,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 raw = matrix(part.column("v")).astype(np.float64)
-                alpha, words, _ = plans[int(dim)]
+                alpha, words, count = plans[int(dim)]
                 unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-                code = directions(int(dim), words)
+                codes = held(("caps", int(dim), words, count), lambda: [directions(int(dim), words, c) for c in range(count)])  # noqa: B023
                 for k in range(0, len(unit), 2048):
-                    row, found = decode(unit[k : k + 2048], code, alpha)
-                    row = row + k
+                    rows, filters = [], []
+                    for c, (turn, *code) in enumerate(codes):
+                        row, found = decode(unit[k : k + 2048] @ turn, code, alpha)
+                        rows.append(row + k)
+                        filters.append(found + (c << 37))
+                    row, found = np.concatenate(rows), np.concatenate(filters)
                     order = np.lexsort([found, row])
                     row, found = row[order], found[order] + (int(dim) << 44)
                     counts = np.bincount(row, minlength=len(unit))

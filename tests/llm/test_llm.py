@@ -137,6 +137,22 @@ def test_caps(spark):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+def test_caps_at_threshold(spark):
+    """Pairs just above the threshold, of vectors that fill all components or only half of them."""
+    r = np.random.default_rng(8)
+    x, y = r.standard_normal((2, 2000, 64))
+    x[1000:, 32:] = y[1000:, 32:] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    t = r.uniform(0.901, 0.92, (2000, 1))
+    v = np.concatenate([x, t * x + np.sqrt(1 - t * t) * y])
+    rows = [(i, [float(np.float32(z)) for z in row]) for i, row in enumerate(v)]
+    found = {r["vec_id"]: r["n_links"] for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    linked = np.array([found[i] > 0 for i in range(2000)])
+    assert linked[:1000].mean() >= 0.985 and linked[1000:].mean() >= 0.985
+
+
 def test_forest(spark):
     v, df = vectors(spark)
     found = collections.defaultdict(list)
