@@ -46,8 +46,11 @@ MERGE = 1 << 21
 PART_BYTES = 16 << 20
 #: Bytes of texts that are read together.
 PORTION = 1 << 20
-RECORD = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
-MARK = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
+#: doc and row (a hash of the text) name a text; equal rows are one text.
+RECORD = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("last", "<i4")])
+MARK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("last", "<i4")])
+#: The doc of a null id.
+NAMELESS = (1 << 63) - 1
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,12 +163,25 @@ def repeated_intervals(contexts: list[bytes], span: int) -> tuple[np.ndarray, np
     return block, context, place - (bounds[context] - sizes[context])
 
 
+def turn_of(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order of texts of one doc: texts without an id are documents of their own, texts of one id are one document."""
+    return np.where(doc == NAMELESS, row, 0)
+
+
 def unequal_first(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the earliest record of each gram and context, the others)."""
-    records = records[np.lexsort([records["first"], records["doc"], records["context"], records["gram"]])]
+    """(the earliest records of each gram and context, one for each text at the earliest place; the later ones)."""
+    turn = turn_of(records["doc"], records["row"])
+    order = np.lexsort([records["row"], records["first"], turn, records["doc"], records["context"], records["gram"]])
+    records, turn = records[order], turn[order]
+    if not len(records):
+        return records, records
     fresh = np.ones(len(records), bool)
     fresh[1:] = (records["gram"][1:] != records["gram"][:-1]) | (records["context"][1:] != records["context"][:-1])
-    return records[fresh], records[~fresh]
+    again = np.zeros(len(records), bool)
+    again[1:] = ~fresh[1:] & (records["doc"][1:] == records["doc"][:-1]) & (records["row"][1:] == records["row"][:-1]) & (records["first"][1:] == records["first"][:-1])
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    late = (records["doc"] != records["doc"][head]) | (turn != turn[head]) | (records["first"] != records["first"][head])
+    return records[~late & ~again], records[late & ~again]
 
 
 def marks_of(records: np.ndarray) -> np.ndarray:
@@ -176,10 +192,10 @@ def marks_of(records: np.ndarray) -> np.ndarray:
 
 
 def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, records, marks) of the documents (doc, data)."""
+    """(part, records, marks) of the documents (doc, row, data)."""
     release()
     for batch in batches:
-        docs, column = batch.column(0).to_numpy(), batch.column(1)
+        docs, rows_of, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         found, begin = [], 0
         while begin < len(column):
             texts, size, end = [], 0, begin
@@ -190,7 +206,8 @@ def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> It
             sizes = np.array([len(t) for t in texts], np.int64)
             text, first, last, gram, context = anchors(np.frombuffer(b"".join(texts), np.uint8), sizes, span)
             out = np.empty(len(text), RECORD)
-            out["gram"], out["context"], out["doc"], out["first"], out["last"] = gram, context >> np.uint64(32), docs[begin:end][text], first, last
+            out["gram"], out["context"], out["first"], out["last"] = gram, context >> np.uint64(32), first, last
+            out["doc"], out["row"] = docs[begin:end][text], rows_of[begin:end][text]
             found.append(out)
             begin = end
         if not found:
@@ -207,9 +224,9 @@ def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> It
 
 
 def spans_table(marks: np.ndarray, wanted: np.ndarray) -> pa.Table:
-    """Rows (doc, gram, first, last): gram is null for a mark, else the context is wanted."""
+    """Rows (doc, row, gram, first, last): gram is null for a mark, else the context is wanted."""
     gram = pa.array(np.concatenate([np.zeros(len(marks), np.int64), wanted["gram"].view(np.int64)]), pa.int64(), mask=np.concatenate([np.ones(len(marks), bool), np.zeros(len(wanted), bool)]))
-    return pa.table({"doc": np.concatenate([marks["doc"], wanted["doc"]]), "gram": gram, "first": np.concatenate([marks["first"], wanted["first"]]), "last": np.concatenate([marks["last"], wanted["last"]])})
+    return pa.table({"doc": np.concatenate([marks["doc"], wanted["doc"]]), "row": np.concatenate([marks["row"], wanted["row"]]), "gram": gram, "first": np.concatenate([marks["first"], wanted["first"]]), "last": np.concatenate([marks["last"], wanted["last"]])})
 
 
 def meet_records(rows: pa.Table) -> pa.Table:
@@ -224,20 +241,25 @@ def meet_records(rows: pa.Table) -> pa.Table:
 
 
 def cut_contexts(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, grams, docs, firsts, contexts) of the documents (doc, data, wanted)."""
+    """(part, grams, docs, rows, firsts, contexts) of the documents (doc, row, data, wanted); of equal rows that follow each other, once."""
+    before = None
     for batch in batches:
         by: dict[int, list[tuple]] = {}
-        for doc, data, wanted in zip(*(batch.column(k) for k in range(3)), strict=True):
-            data, doc = data.as_py().encode("utf-8", "replace"), doc.as_py()
+        for doc, row, data, wanted in zip(*(batch.column(k) for k in range(4)), strict=True):
+            doc, row = doc.as_py(), row.as_py()
+            if (doc, row) == before:
+                continue
+            before = doc, row
+            data = data.as_py().encode("utf-8", "replace")
             for w in wanted.as_py():
-                by.setdefault((w["gram"] & 0x7FFFFFFFFFFFFFFF) % parts, []).append((w["gram"], doc, w["first"], data[w["first"] : w["last"] + span]))
+                by.setdefault((w["gram"] & 0x7FFFFFFFFFFFFFFF) % parts, []).append((w["gram"], doc, row, w["first"], data[w["first"] : w["last"] + span]))
         rows = [(k, *(list(c) for c in zip(*v, strict=True))) for k, v in by.items()]
-        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "grams", "docs", "firsts", "contexts"])
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "grams", "docs", "rows", "firsts", "contexts"])
 
 
 def merge_contexts(rows: pa.Table, span: int) -> pa.Table:
-    grams, docs, firsts = (rows[c].combine_chunks().flatten().to_numpy() for c in ("grams", "docs", "firsts"))
+    grams, docs, hashes, firsts = (rows[c].combine_chunks().flatten().to_numpy() for c in ("grams", "docs", "rows", "firsts"))
     texts = rows["contexts"].combine_chunks().flatten().to_pylist()
     order = np.argsort(grams, kind="stable")
     sizes = np.array([len(t) + 1 for t in texts], np.int64)[order]
@@ -252,21 +274,24 @@ def merge_contexts(rows: pa.Table, span: int) -> pa.Table:
         chosen = order[heads[k] : heads[end]]
         k = end
         block, context, offset = repeated_intervals([texts[i] for i in chosen], span)
-        doc, start = docs[chosen][context], firsts[chosen][context] + offset
-        order2 = np.lexsort([start, doc, block])
-        doc, start, block = doc[order2], start[order2], block[order2]
-        # the earliest of each interval stays; the same place can't be met twice in one interval
-        late = np.concatenate([[False], block[1:] == block[:-1]]) if len(block) else np.zeros(0, bool)
-        doc, start = doc[late], start[late]
-        by = np.lexsort([start, doc])
-        doc, start = doc[by], start[by]
-        run = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + span)])) if len(doc) else np.zeros(0, np.int64)
+        doc, row, start = docs[chosen][context], hashes[chosen][context], firsts[chosen][context] + offset
+        turn = turn_of(doc, row)
+        order2 = np.lexsort([start, turn, doc, block])
+        doc, row, start, block, turn = doc[order2], row[order2], start[order2], block[order2], turn[order2]
+        # the earliest of each interval stays, in all texts that hold it there
+        fresh = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        late = (doc != doc[head]) | (turn != turn[head]) | (start != start[head])
+        doc, row, start = doc[late], row[late], start[late]
+        by = np.lexsort([start, row, doc])
+        doc, row, start = doc[by], row[by], start[by]
+        run = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] > start[:-1] + span)])) if len(doc) else np.zeros(0, np.int64)
         marks = np.empty(len(run), MARK)
         if len(run):
-            marks["doc"], marks["first"], marks["last"] = doc[run], start[run], start[np.append(run[1:] - 1, len(start) - 1)]
+            marks["doc"], marks["row"], marks["first"], marks["last"] = doc[run], row[run], start[run], start[np.append(run[1:] - 1, len(start) - 1)]
         out.append(marks)
     found = np.concatenate(out)
-    return pa.table({"doc": found["doc"], "first": found["first"], "last": found["last"]})
+    return pa.table({c: found[c] for c in MARK.names})
 
 
 def cut_marks(batches: Iterator[pa.RecordBatch], span: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -303,28 +328,29 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 (, kept_text, and the columns in `keep`), one row per row of `df`.
 
     Texts are UTF-8 bytes, null as empty; matches never cross documents, and strings are judged on
-    the input. kept_text drops the bytes of a character that was cut in two. A document with a null
-    id counts as later than all others; rows that repeat an id are one document, so a mark found in
-    one text holds for its other texts at the same place. Texts shorter than `span` stay whole.
-    Other columns are not read.
+    the input. kept_text drops the bytes of a character that was cut in two. Rows that repeat an id are
+    one document: equal strings at the same place of its texts are none earlier than the other, and
+    a text only loses what it holds itself. Documents without an id count as later than all others,
+    each different text as a document of its own (in the order of a hash of the text); equal rows are
+    one. Texts shorter than `span` stay whole. Other columns are not read.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    texts = df.select(key.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("data"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row")
+    texts = df.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("data"))
     size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(32, int(size * 0.75 / PART_BYTES))
     records = texts.mapInArrow(lambda b: list_records(b, span, parts), "part int, records binary, marks binary")
-    spans = checkpointed(records.groupBy("part").applyInArrow(meet_records, "doc long, gram long, first int, last int"))
+    spans = checkpointed(records.groupBy("part").applyInArrow(meet_records, "doc long, row long, gram long, first int, last int"))
 
     # One shuffle of the texts by document serves both joins below (the exchange is reused).
     names = list(dict.fromkeys([id_col, *(keep or [])]))
-    whole = df.select(key.alias("doc"), F.col(text_col).alias("repeat_text"), *names)
+    whole = df.select(*key, F.col(text_col).alias("repeat_text"), *names)
     pair = F.struct("first", "last")
-    wanted = spans.where("gram is not null").groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "last")).alias("wanted"))
+    wanted = spans.where("gram is not null").groupBy("doc", "row").agg(F.collect_list(F.struct("gram", "first", "last")).alias("wanted"))
     # fetched has all columns of `whole`, or else its exchange would be another one
-    fetched = whole.join(wanted, "doc").select("doc", F.coalesce("repeat_text", F.lit("")).alias("data"), "wanted", *names)
-    contexts = fetched.mapInArrow(lambda b: cut_contexts(b, span, parts), "part int, grams array<long>, docs array<long>, firsts array<int>, contexts array<binary>")
-    merged = contexts.groupBy("part").applyInArrow(lambda t: merge_contexts(t, span), "doc long, first int, last int")
-    marks = spans.where("gram is null").select("doc", "first", "last").unionAll(merged).groupBy("doc").agg(F.collect_list(pair).alias("repeat_marks"))
-    told = whole.join(marks, "doc", "left").select("repeat_text", "repeat_marks", *names)
+    fetched = whole.join(wanted, ["doc", "row"]).select("doc", "row", F.coalesce("repeat_text", F.lit("")).alias("data"), "wanted", *names)
+    contexts = fetched.mapInArrow(lambda b: cut_contexts(b, span, parts), "part int, grams array<long>, docs array<long>, rows array<long>, firsts array<int>, contexts array<binary>")
+    merged = contexts.groupBy("part").applyInArrow(lambda t: merge_contexts(t, span), "doc long, row long, first int, last int")
+    marks = spans.where("gram is null").select("doc", "row", "first", "last").unionAll(merged).groupBy("doc", "row").agg(F.collect_set(pair).alias("repeat_marks"))
+    told = whole.join(marks, ["doc", "row"], "left").select("repeat_text", "repeat_marks", *names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema.fields[2:])
     return told.mapInArrow(lambda b: cut_marks(b, span, with_text), f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)

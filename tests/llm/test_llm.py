@@ -90,6 +90,22 @@ def test_repeats(spark):
     assert repeats.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_repeats_of_rows_and_null_ids(spark):
+    """Equal rows stay whole, and texts without an id are documents of their own, later than all others."""
+    r = random.Random(6)
+    a, b, c, d, e = ("".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(5))
+    rows = [(1, a), (1, a), (None, b + c), (None, c + d), (None, b + c), (None, e + a), (2, "x" + a[:150]), (3, c[:120]), (3, c[:120] + e), (None, e[200:] + d[:50])]
+    found = [(x["doc_id"], x["n_bytes"], x["kept_text"]) for x in repeats.remove_repeats(frame(spark, rows), with_text=True).collect()]
+    assert sorted(t for i, _, t in found if i == 1) == [a, a]
+    assert [t for i, _, t in found if i == 2] == ["x"]
+    assert sorted(t for i, _, t in found if i == 3) == sorted([c[:120], c[:120] + e])
+    nameless = sorted(t for i, n, t in found if i is None and n == 600)
+    # of c its first 120 bytes are met in 3, the rest (180 bytes) in the earlier of the two texts without an id
+    rest = c[120:]
+    assert nameless in (sorted([b + c[120:], b + c[120:], d, ""]), sorted([b, b, rest + d, ""]))
+    assert [t for i, n, t in found if i is None and n == 150] == [d[:50]]
+
+
 def test_bpe_and_packing(spark, texts):
     docs = dict(enumerate([*list(texts.values())[:20], "Ünïcødé 漢字 🙂 it's 1²3  x\n\n y", "=" * 500, "ab" * 999, "<|endoftext|>"])) | {i: t for i, t in ODD if i is not None}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary.default("byte_bpe_50k.tiktoken"), "rb"))}
