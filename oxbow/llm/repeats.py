@@ -10,8 +10,12 @@ document, earlier start). The steps:
 2. Equal contexts. A context that its batch has already is marked at once; of the others, one record
    (hashes of gram and context, document, places) goes by the gram's hash to a part. There all but
    the earliest of equal contexts are marked. A passage that a third of all documents hold thus
-   costs one record per batch. Grams with several different contexts remain.
-3. Merge. The bytes of those contexts are fetched and dealt into shards. Each shard's suffixes are
+   costs one record per batch. Grams with several different contexts remain. Contexts of one gram
+   are equal if 64 bits of their hashes are: among a million, a false match has a chance of 3e-8.
+3. Merge. The bytes of those contexts are fetched and dealt into shards. Where the contexts of a gram
+   exceed MERGE bytes, each is first cut into pieces by the anchor's place in the strings, NEAR places
+   to a piece, and pieces are dealt by the span - NEAR + 1 bytes about the anchor that all their strings
+   share: equal strings have equal ones, so they still meet. Each shard's suffixes are
    sorted once and give a Burrows-Wheeler transform. All shards are merged by iterative interleave
    refinement: in each round the merged suffixes step to the byte before them (the transforms say
    which) and are dealt stably by it, which orders them by one byte more; neighbours that part in
@@ -44,21 +48,23 @@ GRAM = 32
 SHARD = 1 << 16
 MERGE = 1 << 21
 PART_BYTES = 16 << 20
+#: Anchor places of strings that stay together where a gram's contexts are split.
+NEAR = 9
 #: Bytes of texts that are read together.
 PORTION = 1 << 20
 #: doc and row (a hash of the text) name a text; equal rows are one text.
-RECORD = np.dtype([("gram", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("last", "<i4")])
+RECORD = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("last", "<i4"), ("place", "<u2")])
 MARK = np.dtype([("doc", "<i8"), ("row", "<i8"), ("first", "<i4"), ("last", "<i4")])
 #: The doc of a null id.
 NAMELESS = (1 << 63) - 1
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that lie one after the other in `data`: text, first and last start of the strings of each anchor, hashes of its gram and of its context."""
+def anchors(data: np.ndarray, sizes: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after the other in `data`: text, first and last start of the strings of each anchor, the anchor's place after the first, hashes of its gram and of its context."""
     none = np.zeros(0, np.int64)
     n, window = len(data), span - gram + 1
     if n < span:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     up, down = both_powers(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
@@ -86,7 +92,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, span: int, gram: int = GRAM) ->
     first, place, text = start[cut], place[cut], text[cut]
     context = mix((sums[last + span] - sums[first]) * down[first] + (last - first).astype(np.uint64) + ((place - first).astype(np.uint64) << np.uint64(20)))
     offset = (ends - sizes)[text]
-    return text, first - offset, last - offset, h[place], context
+    return text, first - offset, last - offset, place - first, h[place], context
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -204,9 +210,9 @@ def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> It
                 size += len(texts[-1])
                 end += 1
             sizes = np.array([len(t) for t in texts], np.int64)
-            text, first, last, gram, context = anchors(np.frombuffer(b"".join(texts), np.uint8), sizes, span)
+            text, first, last, place, gram, context = anchors(np.frombuffer(b"".join(texts), np.uint8), sizes, span)
             out = np.empty(len(text), RECORD)
-            out["gram"], out["context"], out["first"], out["last"] = gram, context >> np.uint64(32), first, last
+            out["gram"], out["context"], out["first"], out["last"], out["place"] = gram, context, first, last, place
             out["doc"], out["row"] = docs[begin:end][text], rows_of[begin:end][text]
             found.append(out)
             begin = end
@@ -223,13 +229,26 @@ def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "records", "marks"])
 
 
-def spans_table(marks: np.ndarray, wanted: np.ndarray) -> pa.Table:
-    """Rows (doc, row, gram, first, last): gram is null for a mark, else the context is wanted."""
+def spans_table(marks: np.ndarray, wanted: np.ndarray, crowded: np.ndarray) -> pa.Table:
+    """Rows (doc, row, gram, first, last, place): gram is null for a mark, else the context is wanted; place is -1 unless the gram is crowded."""
     gram = pa.array(np.concatenate([np.zeros(len(marks), np.int64), wanted["gram"].view(np.int64)]), pa.int64(), mask=np.concatenate([np.ones(len(marks), bool), np.zeros(len(wanted), bool)]))
-    return pa.table({"doc": np.concatenate([marks["doc"], wanted["doc"]]), "row": np.concatenate([marks["row"], wanted["row"]]), "gram": gram, "first": np.concatenate([marks["first"], wanted["first"]]), "last": np.concatenate([marks["last"], wanted["last"]])})
+    both = {c: np.concatenate([marks[c], wanted[c]]) for c in MARK.names}
+    place = np.concatenate([np.full(len(marks), -1, np.int32), np.where(crowded, wanted["place"].astype(np.int32), -1).astype(np.int32)])
+    return pa.table({"doc": both["doc"], "row": both["row"], "gram": gram, "first": both["first"], "last": both["last"], "place": place})
 
 
-def meet_records(rows: pa.Table) -> pa.Table:
+def pieces(gram: int, first: int, last: int, place: int, data: bytes, span: int) -> Iterator[tuple[int, int, bytes]]:
+    """(key, first start, bytes) of the parts of a context by the anchor's place in its strings; place is the anchor's after `first`."""
+    anchor = first + place
+    for k in range((anchor - last) // NEAR, place // NEAR + 1):
+        # the strings that have the anchor at places k * NEAR to (k + 1) * NEAR - 1; all hold data[low:high]
+        low, high = anchor - k * NEAR, anchor - (k + 1) * NEAR + 1 + span
+        begin, end = max(first, anchor - (k + 1) * NEAR + 1), min(last, low)
+        name = hashlib.blake2b(data[low:high], digest_size=8, key=(gram & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little") + bytes([k])).digest()
+        yield int.from_bytes(name, "little", signed=True), begin, data[begin : end + span]
+
+
+def meet_records(rows: pa.Table, span: int) -> pa.Table:
     records = np.frombuffer(b"".join(rows["records"].to_pylist()), RECORD)
     marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), MARK)
     firsts, others = unequal_first(records)
@@ -237,7 +256,10 @@ def meet_records(rows: pa.Table) -> pa.Table:
     same = firsts["gram"][1:] == firsts["gram"][:-1]
     several[1:] |= same
     several[:-1] |= same
-    return spans_table(np.concatenate([marks, marks_of(others)]), firsts[several])
+    wanted = firsts[several]
+    _, group = np.unique(wanted["gram"], return_inverse=True)
+    size = np.bincount(group, weights=wanted["last"] - wanted["first"] + span)
+    return spans_table(np.concatenate([marks, marks_of(others)]), wanted, size[group] > MERGE)
 
 
 def cut_contexts(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -252,7 +274,9 @@ def cut_contexts(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> It
             before = doc, row
             data = data.as_py().encode("utf-8", "replace")
             for w in wanted.as_py():
-                by.setdefault((w["gram"] & 0x7FFFFFFFFFFFFFFF) % parts, []).append((w["gram"], doc, row, w["first"], data[w["first"] : w["last"] + span]))
+                found = [(w["gram"], w["first"], data[w["first"] : w["last"] + span])] if w["place"] < 0 else pieces(w["gram"], w["first"], w["last"], w["place"], data, span)
+                for gram, first, text in found:
+                    by.setdefault((gram & 0x7FFFFFFFFFFFFFFF) % parts, []).append((gram, doc, row, first, text))
         rows = [(k, *(list(c) for c in zip(*v, strict=True))) for k, v in by.items()]
         kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "grams", "docs", "rows", "firsts", "contexts"])
@@ -337,15 +361,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row")
     texts = df.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("data"))
     size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = max(32, int(size * 0.75 / PART_BYTES))
+    parts = max(32, int(size * RECORD.itemsize / 35 / PART_BYTES))
     records = texts.mapInArrow(lambda b: list_records(b, span, parts), "part int, records binary, marks binary")
-    spans = checkpointed(records.groupBy("part").applyInArrow(meet_records, "doc long, row long, gram long, first int, last int"))
+    spans = checkpointed(records.groupBy("part").applyInArrow(lambda t: meet_records(t, span), "doc long, row long, gram long, first int, last int, place int"))
 
     # One shuffle of the texts by document serves both joins below (the exchange is reused).
     names = list(dict.fromkeys([id_col, *(keep or [])]))
     whole = df.select(*key, F.col(text_col).alias("repeat_text"), *names)
     pair = F.struct("first", "last")
-    wanted = spans.where("gram is not null").groupBy("doc", "row").agg(F.collect_list(F.struct("gram", "first", "last")).alias("wanted"))
+    wanted = spans.where("gram is not null").groupBy("doc", "row").agg(F.collect_list(F.struct("gram", "first", "last", "place")).alias("wanted"))
     # fetched has all columns of `whole`, or else its exchange would be another one
     fetched = whole.join(wanted, ["doc", "row"]).select("doc", "row", F.coalesce("repeat_text", F.lit("")).alias("data"), "wanted", *names)
     contexts = fetched.mapInArrow(lambda b: cut_contexts(b, span, parts), "part int, grams array<long>, docs array<long>, rows array<long>, firsts array<int>, contexts array<binary>")

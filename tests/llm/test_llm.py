@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -106,6 +107,69 @@ def test_repeats_of_rows_and_null_ids(spark):
     assert [t for i, n, t in found if i is None and n == 150] == [d[:50]]
 
 
+def removed_locally(texts, span=100):
+    """Which bytes go from `texts` (ids by place), all steps in this process; and the bytes of contexts that shared a group, most."""
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts, pa.string())], ["doc", "row", "data"])
+    parts = pa.Table.from_batches(repeats.list_records(iter([batch]), span, 1))
+    spans = repeats.meet_records(parts, span).to_pylist()
+    wanted = [[x for x in spans if x["doc"] == i and x["gram"] is not None] for i in range(n)]
+    fetched = pa.RecordBatch.from_pylist([{"doc": i, "row": i, "data": texts[i], "wanted": wanted[i]} for i in range(n)])
+    contexts = pa.Table.from_batches(repeats.cut_contexts(iter([fetched]), span, 1))
+    marks = [x for x in spans if x["gram"] is None] + (repeats.merge_contexts(contexts, span).to_pylist() if len(contexts) else [])
+    gone = [np.zeros(len(t.encode()), bool) for t in texts]
+    for m in marks:
+        gone[m["doc"]][m["first"] : m["last"] + span] = True
+    sizes = collections.Counter()
+    for r in contexts.to_pylist():
+        for g, c in zip(r["grams"], r["contexts"], strict=True):
+            sizes[g] += len(c)
+    return gone, max(sizes.values(), default=0)
+
+
+def hot_line(n):
+    r = random.Random(12)
+    word = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    line = word(60)
+    texts = [word(200) + line + word(200) for _ in range(n)]
+    return texts + [t[r.randint(0, 100) :][:300] for t in texts[:20]]
+
+
+def brute_gone(texts):
+    seen, out = set(), []
+    for t in texts:
+        data = t.encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - 99):
+            if data[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(data[s : s + 100])
+        out.append(gone)
+    return out
+
+
+def test_hot_gram_with_like_hashes(monkeypatch):
+    """Contexts whose hashes agree in their upper 32 bits are not taken as equal."""
+    texts, own = hot_line(40), repeats.anchors
+
+    def alike(*args):
+        *others, context = own(*args)
+        return *others, context & np.uint64(0xFFFFFFFF)
+
+    monkeypatch.setattr(repeats, "anchors", alike)
+    gone, _ = removed_locally(texts)
+    assert all((a == b).all() for a, b in zip(gone, brute_gone(texts), strict=True))
+
+
+def test_hot_gram_is_split(monkeypatch):
+    texts = hot_line(200)
+    gone, whole = removed_locally(texts)
+    monkeypatch.setattr(repeats, "MERGE", 2000)
+    split, most = removed_locally(texts)
+    assert whole > 10_000 and most < 2000
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(gone, split, brute_gone(texts), strict=True))
+
+
 def test_bpe_and_packing(spark, texts):
     docs = dict(enumerate([*list(texts.values())[:20], "Ünïcødé 漢字 🙂 it's 1²3  x\n\n y", "=" * 500, "ab" * 999, "<|endoftext|>"])) | {i: t for i, t in ODD if i is not None}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary.default("byte_bpe_50k.tiktoken"), "rb"))}
