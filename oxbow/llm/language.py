@@ -21,7 +21,9 @@ from oxbow.llm.samples import labelled_texts, remainder
 
 HIDDEN = 8
 WINDOW = 48
+#: Steps of the training for up to MANY languages; more languages get more steps in proportion.
 STEPS = 220
+MANY = 16
 BATCH = 192
 RATE = 0.02
 #: Documents per language that the network is fitted on at most, about.
@@ -142,7 +144,8 @@ def train(examples: list[tuple[str, str]], seed: int = 11) -> Model:
     if len(labels) < 2:
         return model
     first, second = [[np.zeros_like(x) for x in model.parts()] for _ in (0, 1)]
-    for step in range(1, STEPS + 1):
+    most = -(-STEPS * max(len(labels), MANY) // MANY)
+    for step in range(1, most + 1):
         which = rng.integers(len(labels), size=BATCH)
         steps = np.full((WINDOW, BATCH), 32, np.uint8)
         for b, k in enumerate(which):
@@ -151,7 +154,7 @@ def train(examples: list[tuple[str, str]], seed: int = 11) -> Model:
             part = data[at : at + WINDOW]
             steps[: len(part), b] = part
         _, slopes = gradient(model, steps, which)
-        rate = RATE * (1 - 0.9 * step / STEPS)
+        rate = RATE * (1 - 0.9 * step / most)
         norm = np.sqrt(sum(float((g**2).sum()) for g in slopes))
         for x, g, m, v in zip(model.parts(), slopes, first, second, strict=True):
             g *= min(1, 1 / (norm + 1e-9))
@@ -216,6 +219,6 @@ def identify_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text
 
 
 def train_on(documents: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model:
-    """Fit on about `per_label` documents of each language, none of them held out (crc32(id) mod 4 = 2)."""
+    """Fit on about `per_label` documents of each language, however many there are, none of them held out (crc32(id) mod 4 = 2)."""
     learn = documents.select(id_col, label_col).where(remainder(id_col, 4) != 2)
     return train(labelled_texts(documents.where(remainder(id_col, 4) != 2), learn, id_col, text_col, label_col, per_label))

@@ -285,6 +285,22 @@ def test_classifiers(spark):
     assert all(0 <= r["score"] <= 1 for r in quality.score_documents(odd, quality.train([("good text", 1), ("bad!!", 0)])).collect())
 
 
+def test_many_languages(spark):
+    """More languages than 64: rows of each are learned from, and the rarest are told too."""
+    r = random.Random(2)
+    letters = [chr(c) for k in range(70) for c in range(0x4E00 + 64 * k, 0x4E00 + 64 * k + 4)]
+    rows = []
+    for k in range(70):
+        for _ in range(20 if k < 64 else 8):
+            rows.append((len(rows), " ".join("".join(r.choice(letters[4 * k : 4 * k + 4]) for _ in range(5)) for _ in range(12)), f"l{k:02d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train_on(df)
+    assert len(model.labels) == 70
+    told = {r["doc_id"]: r["lang_pred"] for r in language.identify_documents(df, model).collect()}
+    rare = [told[i] == lang for i, _, lang in rows if lang >= "l64"]
+    assert np.mean(rare) >= 0.8
+
+
 def test_language_gradient():
     model, rng = language.start(["a", "b"], 1), np.random.default_rng(0)
     steps, which = rng.integers(0, 256, (5, 3)).astype(np.uint8), np.array([0, 1, 1])
