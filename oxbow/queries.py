@@ -192,7 +192,7 @@ def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_components")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
     return graph.star_components(edges)
 
 

@@ -108,3 +108,21 @@ def test_latest_and_validity(spark):
     spans = spark.createDataFrame([(1, 0, 5), (2, 6, None)], "id int, valid_at int, invalid_at int")
     assert [r["id"] for r in retrieval.valid_at(spans, F.lit(3)).collect()] == [1]
     assert [r["id"] for r in retrieval.valid_at(spans, None).collect()] == [2]
+
+
+def test_graph_components_over_all_rows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for part, supplier in rows:
+        a, b = find(part), find(-supplier)
+        root[max(a, b)] = min(a, b)
+    from oxbow.queries import QUERIES as own
+
+    assert {r["node"]: r["component"] for r in own["graph_components"](spark, "/root/testdata/sf0.001").collect()} == {x: find(x) for x in root}
