@@ -21,11 +21,11 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 from oxbow.llm import vocabulary
-from oxbow.llm.caches import held
+from oxbow.llm.caches import held, tidy
 from oxbow.llm.pretokens import splitter
 
 #: Pre-tokens whose ids a worker remembers; beyond this it forgets all and starts anew.
-CACHE = 600_000
+CACHE = 400_000
 NEVER = 1 << 60
 
 
@@ -148,6 +148,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     shared = vocabulary.shared(df.sparkSession, path or vocabulary.default("byte_bpe_50k.tiktoken"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         for batch in batches:

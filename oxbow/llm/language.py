@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import release
+from oxbow.llm.caches import release, tidy
 from oxbow.llm.samples import labelled_texts, remainder
 
 HIDDEN = 8
@@ -195,6 +195,7 @@ def identify_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # some 60 KB
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from oxbow.llm.packing import portions
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import release
+from oxbow.llm.caches import release, tidy
 from oxbow.llm.groups import PAIR, split_in_pairs, whole_groups
 from oxbow.llm.hashing import mix, prefix_sums, range_hash
 from oxbow.operators.components import star_components
@@ -145,6 +145,7 @@ def fine_bound(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, raw: list[bytes]
     return out
 
 
+@tidy
 def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """(doc, n, print, point, fine, frequent) of the documents (doc, data): size, fingerprint and point of each set; on a batch's last row, the counts of grams in two of its documents or more."""
     release()
@@ -184,6 +185,7 @@ def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         )
 
 
+@tidy
 def list_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.frombuffer(b"".join(batch.column(0).to_pylist()), COUNT)
@@ -213,6 +215,7 @@ def level_of(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
     return np.where(names[at] == grams, levels[at], 0).astype(np.int8)
 
 
+@tidy
 def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tuple[int, int], parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(part, records) of the documents (doc, data): the grams by which each can meet others. Of equal sets in a batch only the first goes."""
     over, under = threshold
@@ -344,6 +347,7 @@ def small_pairs(at: np.ndarray, points: np.ndarray, sizes: np.ndarray, side: np.
     return x[keep], y[keep], bound[keep]
 
 
+@tidy
 def candidates(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int], best_only: bool) -> Iterator[pa.RecordBatch]:
     """(a, b), a < b, of rows (block, one, two, side, doc, n, point, fine, component) sorted by block, one and two.
 
@@ -399,6 +403,7 @@ def candidates(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int], be
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
+@tidy
 def verify_stream(batches: Iterator[pa.RecordBatch], words: int, threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """(a, b) that link, of rows (lead, salt, role, doc, data) sorted by these; role 0 is the lead itself."""
     over, under = threshold

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,16 +22,23 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oxbow.llm import vocabulary
-from oxbow.llm.caches import held
+from oxbow.llm.caches import held, tidy
 from oxbow.llm.pretokens import splitter
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Pre-tokens whose ids a worker remembers (about 200 MB); beyond this it forgets all and starts anew.
-CACHE = 1_000_000
+#: Pre-tokens of one generation that a worker remembers; two generations are held, about 60 MB.
+CACHE = 150_000
 PORTION = 1_000_000
 
 
+def byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in printable else next(others) for b in range(256)}
+
+
 class Ids:
     """Ids by a tokenizers file. Byte-level files work pre-token by pre-token, so their ids are remembered."""
 
@@ -41,9 +49,11 @@ class Ids:
         self.tokenizer.no_padding()
         about = json.loads(data)
         before = about.get("pre_tokenizer") or {}
-        self.by_piece = about.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.split = splitter()
+        own = all(t.get("special") for t in about.get("added_tokens") or [])
+        self.by_piece = own and about.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.split, self.letters = splitter(), byte_letters()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -51,16 +61,15 @@ class Ids:
             for text in texts:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             return
-        split, known = self.split, self.known
-        each = [split(text) for text in texts]
-        new = [*set(chain.from_iterable(each)).difference(known)]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = [*{*chain.from_iterable(each)}]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
+        each = [self.split(text) for text in texts]
+        known, before, merge, letters = self.known, self.before, self.tokenizer.model.tokenize, self.letters
+        for piece in set(chain.from_iterable(each)).difference(known):
+            known[piece] = before.get(piece) or array("I", [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]).tobytes()
         for found in each:
             yield b"".join(map(known.__getitem__, found))
+        if len(known) > CACHE:
+            # what the next CACHE pre-tokens don't use is forgotten
+            self.before, self.known = known, {}
 
 
 def ids_of(data: bytes) -> Ids:
@@ -69,15 +78,15 @@ def ids_of(data: bytes) -> Ids:
 
 def portions(texts: pa.Array) -> Iterator[list[str]]:
     """The texts, nulls as empty ones, in lists of about PORTION characters or a single text."""
-    held, size = [], 0
+    taken, size = [], 0
     for text in texts:
-        held.append(text.as_py() or "")
-        size += len(held[-1])
+        taken.append(text.as_py() or "")
+        size += len(taken[-1])
         if size >= PORTION:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+            yield taken
+            taken, size = [], 0
+    if taken:
+        yield taken
 
 
 def pieces(length: int, window: int) -> Iterator[tuple[int, int]]:
@@ -104,6 +113,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("window must be a power of two")
     shared = vocabulary.shared(df.sparkSession, path or vocabulary.default("byte_bpe_50k.json"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_by, last = ids_of(shared.value), np.array([end_id], "<u4").tobytes()
         for batch in batches:

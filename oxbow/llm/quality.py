@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import held
+from oxbow.llm.caches import held, tidy
 from oxbow.llm.samples import labelled_texts, remainder
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -36,8 +36,8 @@ RATE = 4.0
 PER_LABEL = 2000
 #: Documents score 1 from here on.
 THRESHOLD = 0.3
-CACHE = 400_000
-LONGEST_WORD = 64
+#: Words whose logits a worker remembers, about 30 MB; beyond this it forgets all and starts anew.
+CACHE = 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -53,10 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, table row) of every feature of `words`, vectorised over all of them.
-
-    A word longer than LONGEST_WORD has the n-grams of all its characters as any other.
-    """
+    """(index of the word, table row) of every feature of `words`, vectorised over all of them."""
     text = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -160,6 +157,7 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # ROWS floats, 256 KB
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from oxbow.llm.packing import portions
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import release
+from oxbow.llm.caches import release, tidy
 from oxbow.llm.hashing import both_powers, mix
 from oxbow.session import checkpointed
 
@@ -197,6 +197,7 @@ def marks_of(records: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def list_records(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, records, marks) of the documents (doc, row, data)."""
     release()
@@ -262,6 +263,7 @@ def meet_records(rows: pa.Table, span: int) -> pa.Table:
     return spans_table(np.concatenate([marks, marks_of(others)]), wanted, size[group] > MERGE)
 
 
+@tidy
 def cut_contexts(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, grams, docs, rows, firsts, contexts) of the documents (doc, row, data, wanted); of equal rows that follow each other, once."""
     before = None
@@ -318,6 +320,7 @@ def merge_contexts(rows: pa.Table, span: int) -> pa.Table:
     return pa.table({c: found[c] for c in MARK.names})
 
 
+@tidy
 def cut_marks(batches: Iterator[pa.RecordBatch], span: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """What is left of the documents (row, data, marks)."""
     for batch in batches:
