@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.llm import language, ngrams, packing, quality, repeats
-from oxbow.session import shared_folder, table
+from oxbow.session import remove_folder, shared_folder, table
 
 #: A document stays if its language is at least so certain.
 CERTAIN = 0.4
@@ -25,16 +25,26 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages: not without letters, and not below CERTAIN."""
-    found = language.identify_documents(docs, language.train_on(docs), keep=docs.columns)
+    """Documents in one of the learned languages: not without letters, and not below CERTAIN. If none can be learned nothing is known, so all stay."""
+    model = language.train_on(docs)
+    if not model.labels:
+        return docs
+    found = language.identify_documents(docs, model, keep=docs.columns)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= CERTAIN)).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component; one row of rows that repeat an id. Rows without an id stay."""
+    """The document of smallest id of each component. Rows without an id stay.
+
+    Of rows that repeat an id the one of the greatest text stays, as that is the one compared (a null text is the least, ties by the other columns).
+    """
     kept = ngrams.near_documents(docs).where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    named = docs.join(kept, "doc_id", "left_semi")
+    repeated = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    best = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", *others)).alias("row")).select("doc_id", "row.*")
+    single = named.join(repeated, "doc_id", "left_anti")
+    return single.select(*docs.columns).unionAll(best.select(*docs.columns)).unionAll(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +70,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet to the shared folder and read again."""
+    """All stages over documents; what each returns is written as Parquet to the shared folder and read again.
+
+    A stage's table goes once the next one is written; the last one stays, as the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return docs

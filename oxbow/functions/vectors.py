@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 DOT = "aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS double) * cast(y AS double)), 0D, (s, x) -> s + x)"
@@ -15,6 +15,12 @@ SQL = {
 }
 
 
+def register(spark: SparkSession) -> None:
+    """Make the distances functions of spark.sql, for arrays of float or double; expressions, not Python."""
+    for name, body in SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body.format(a='a', b='b')}")
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; null on unequal lengths, empty or zero vectors."""
     product = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)

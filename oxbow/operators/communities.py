@@ -1,8 +1,10 @@
 """Communities by modularity: rounds of local moves as joins and aggregates, then contraction to the next level.
 
-All nodes of one half (by a hash that changes each round) move at once to the neighbouring community
-of largest gain; moving halves keeps two nodes from swapping for ever. Every round costs the
-edges once; hubs are pre-aggregated per community; no edges reach the driver.
+The nodes of one half move at once to the neighbouring community of largest gain, then those of the other
+half; the halves, by a hash, change every two rounds, which keeps two nodes from swapping for ever. It ends
+when neither half moves. Every round costs the edges once; hubs are pre-aggregated per community; no edges
+reach the driver. What nodes and communities are is broadcast while they are MOST_BROADCAST at most (counted),
+and joined by shuffles beyond that.
 """
 
 from __future__ import annotations
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from oxbow.session import checkpointed
 
+#: Rows of (node, community, degree) that a broadcast may hold, some 60 MB.
+MOST_BROADCAST = 1_000_000
+
 
 def undirected(edges: DataFrame, src: str, dst: str, weight: str | None) -> DataFrame:
     """(u, v, w) both ways, parallel edges summed; a self loop once, with twice its weight."""
@@ -24,24 +29,30 @@ def undirected(edges: DataFrame, src: str, dst: str, weight: str | None) -> Data
 def local_moves(both: DataFrame, rounds: int) -> DataFrame:
     """(node, community) after moves until nobody gains, or `rounds`. Ties go to the smaller community."""
     state = checkpointed(both.groupBy("u").agg(F.sum("w").alias("degree")).select(F.col("u").alias("node"), F.col("u").alias("community"), "degree"))
-    total = state.agg(F.sum("degree")).first()[0] or 0.0
+    total, size = state.agg(F.sum("degree"), F.count("*")).first()
+    total = total or 0.0
+    small = F.broadcast if size <= MOST_BROADCAST else lambda df: df
+    apart = both.where("u <> v")
     still = 0
     for k in range(rounds):
         sums = state.groupBy("community").agg(F.sum("degree").alias("inside"))
-        near = both.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("w"))
-        home = state.select(F.col("node").alias("u"), "community", F.lit(0.0).alias("w"))
-        choices = near.unionByName(home).groupBy("u", "community").agg(F.sum("w").alias("w")).join(sums, "community")
-        mine = state.select(F.col("node").alias("u"), F.col("community").alias("at"), "degree").where(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
-        scored = choices.join(mine, "u").withColumn("others", F.col("inside") - F.when(F.col("community") == F.col("at"), F.col("degree")).otherwise(0.0))
+        half = F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2
+        mine = state.where(half).select(F.col("node").alias("u"), F.col("community").alias("at"), "degree")
+        near = apart.join(small(mine), "u").join(small(state.select(F.col("node").alias("v"), "community")), "v").groupBy("u", "at", "degree", "community").agg(F.sum("w").alias("w"))
+        home = mine.select("u", "at", "degree", F.col("at").alias("community"), F.lit(0.0).alias("w"))
+        scored = near.unionByName(home).join(small(sums), "community").withColumn("others", F.col("inside") - F.when(F.col("community") == F.col("at"), F.col("degree")).otherwise(0.0))
         gain = F.round(F.col("w") - F.col("others") * F.col("degree") / F.lit(total), 9)
         stay = F.max(F.when(F.col("community") == F.col("at"), F.col("gain")))
-        best = scored.withColumn("gain", gain).groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("best"), stay.alias("stay"))
+        best = scored.withColumn("gain", gain).groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "community")).alias("best"), stay.alias("stay"))  # its own community may come twice, without and with its edges: the larger gain counts
         moves = best.where(-F.col("best.loss") > F.col("stay")).select(F.col("u").alias("node"), F.col("best.community").alias("moved"))
-        state = checkpointed(state.join(moves, "node", "left").select("node", F.coalesce("moved", "community").alias("community"), "degree", F.col("moved").isNotNull().alias("went")))
-        still = 0 if state.where("went").limit(1).count() else still + 1
-        state = state.drop("went")
-        if still == 3:
-            break
+        moves = checkpointed(moves)
+        if moves.isEmpty():
+            still += 1
+            if still >= 2 and k % 2:
+                break
+            continue
+        still = 0
+        state = checkpointed(state.join(small(moves), "node", "left").select("node", F.coalesce("moved", "community").alias("community"), "degree"))
     return state.select("node", "community")
 
 

@@ -14,7 +14,7 @@ from oxbow.session import checkpointed
 
 
 def steps(edges: DataFrame, src: str, dst: str, direction: str = "forward", edge_type: str | None = None, type_col: str = "type") -> DataFrame:
-    """Distinct (u, v) that one hop may take."""
+    """Distinct (u, v) that one hop may take, both ways if `direction` is neither forward nor backward."""
     if edge_type is not None:
         edges = edges.where(F.col(type_col) == edge_type)
     forth = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
@@ -83,8 +83,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
     return nodes.join(found, nodes[id_col] == found["node"], "left").select(id_col, F.coalesce("component", id_col).alias("component"))
 
 
-def pagerank(edges: DataFrame, src: str, dst: str, seeds_df: DataFrame | None = None, alpha: float = 0.15, rounds: int = 20) -> DataFrame:
-    """(node, score): personalised to the seeds (one column), or to all nodes; what a sink holds returns to the seeds."""
+def pagerank(edges: DataFrame, src: str, dst: str, seeds_df: DataFrame | None = None, alpha: float = 0.15, rounds: int = 100, settled: float = 1e-7) -> DataFrame:
+    """(node, score): personalised to the seeds (one column), or to all nodes; what a sink holds returns to the seeds.
+
+    It ends when a round changes all scores by less than `settled` together (looked at every five rounds), or after `rounds`.
+    """
     hops = steps(edges, src, dst)
     nodes = hops.select(F.col("u").alias("node")).unionAll(hops.select("v")).distinct()
     start = (seeds_df.toDF("node") if seeds_df is not None else nodes).distinct()
@@ -97,9 +100,13 @@ def pagerank(edges: DataFrame, src: str, dst: str, seeds_df: DataFrame | None =
     for k in range(rounds):
         passed = moves.join(score, moves["u"] == score["node"]).groupBy("v").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         lost = base.join(score, "node").where("degree = 0").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))  # one row
+        before = score
         score = base.join(passed, base["node"] == passed["v"], "left").crossJoin(F.broadcast(lost)).select("node", (F.col("home") * (alpha + (1 - alpha) * F.col("lost")) + (1 - alpha) * F.coalesce("got", F.lit(0.0))).alias("score"))
         if k % 5 == 4:
             score = checkpointed(score)
+            gap = score.join(before.withColumnRenamed("score", "old"), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+            if (gap or 0.0) < settled:
+                break
     return score
 
 

@@ -71,7 +71,7 @@ def keyword_score(query: str, *columns: str) -> Column:
 def blend(rrf: Column, semantic: Column, keyword: Column, graph: Column, importance: Column, age_days: Column) -> Column:
     """The weighted sum of the signals; an absent signal counts nothing, an unknown age one half."""
     parts = {"rrf": rrf, "semantic": semantic, "keyword": keyword, "graph": graph, "importance": importance}
-    score = WEIGHTS["recency"] * F.coalesce(recency(F.greatest(age_days, F.lit(0.0)), HALF_LIFE), F.lit(0.5))
+    score = WEIGHTS["recency"] * F.when(age_days.isNull(), 0.5).otherwise(recency(F.greatest(age_days, F.lit(0.0)), HALF_LIFE))
     for name, column in parts.items():
         score = score + WEIGHTS[name] * F.coalesce(column, F.lit(0.0))
     return score
@@ -164,10 +164,14 @@ def judged(nodes: DataFrame, verdicts: DataFrame, moment: Column) -> tuple[DataF
     supersedes ends dst and INVALIDATES it; merged archives src, MERGED_INTO dst; conflicts, related and compatible RELATE.
     """
     of = lambda *names: verdicts.where(F.col("verdict").isin(*names)).select("src", "dst")
-    ended = changed(nodes, of("supersedes").select("dst"), invalid_at=moment)
-    archived = changed(nodes, of("merged").select("src"), status=F.lit("archived"))
+    ended = of("supersedes").select(F.col("dst").alias("id"), F.lit(True).alias("ends"), F.lit(False).alias("goes"))
+    archived = of("merged").select(F.col("src").alias("id"), F.lit(False).alias("ends"), F.lit(True).alias("goes"))
+    # several verdicts on one memory make one version
+    told = ended.unionAll(archived).groupBy("id").agg(F.max("ends").alias("ends"), F.max("goes").alias("goes"))
+    rows = latest(nodes, "id", "version").join(told, "id").withColumns({"invalid_at": F.when(F.col("ends"), moment).otherwise(F.col("invalid_at")), "status": F.when(F.col("goes"), "archived").otherwise(F.col("status"))})
+    versions = rows.withColumn("version", F.col("version") + 1).select(*nodes.columns)
     edges = linked(of("supersedes"), "INVALIDATES").unionAll(linked(of("merged"), "MERGED_INTO")).unionAll(linked(of("conflicts", "related", "compatible"), "RELATES_TO"))
-    return ended.unionAll(archived), edges
+    return versions, edges
 
 
 def consolidated(nodes: DataFrame, new: dict, decide: Callable[[dict, list[dict]], tuple[str, str | None]], moment: Column) -> tuple[DataFrame, DataFrame]:

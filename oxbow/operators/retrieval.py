@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oxbow.functions.text import tokens
 from oxbow.functions.vectors import cosine_distance
+from oxbow.session import checkpointed
 
 #: BM25's and fusion's usual constants.
 K1, B, RRF = 1.2, 0.75, 60
@@ -21,9 +22,11 @@ def vector_topk(df: DataFrame, query: list[float], vector_col: str, k: int, id_c
 def bm25(df: DataFrame, query: str, text_col: str, id_col: str) -> DataFrame:
     """(id, score) of the rows with a query term, by BM25 with statistics of the whole table."""
     terms = sorted({t for t in "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in query).split() if len(t) >= 2})
-    words = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words"))
-    times = lambda term: F.size(F.filter("words", lambda w: w == term))
-    counted = words.select("id", "length", *[times(t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    times = lambda words, term: F.size(F.filter(words, lambda w: w == term))
+    # a text is split once: its words are a lambda's variable, not an expression repeated for every count
+    told = F.transform(F.array(tokens(F.col(text_col))), lambda w: F.struct(F.size(w).alias("length"), *[times(w, t).alias(f"tf{k}") for k, t in enumerate(terms)]))[0]
+    # numbers only; the statistics and the scores both read them
+    counted = checkpointed(df.select(F.col(id_col).alias("id"), told.alias("told")).select("id", "told.*"))
     sums = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{k}") > 0).cast("int")).alias(f"df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):

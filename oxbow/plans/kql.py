@@ -63,6 +63,14 @@ def alias_of(expression: str) -> str:
     return re.sub(r"[^A-Za-z0-9]", "_", expression).strip("_")[:40]
 
 
+def has(left: str, right: str) -> str:
+    """Whether a token of `left` is `right`. A plain word stops at its first place, behind a cheap search for its letters."""
+    if re.fullmatch(r"'[0-9A-Za-z]+'", right):
+        word = right[1:-1].lower()
+        return f"(contains(lower({left}), '{word}') AND lower({left}) RLIKE '(^|[^0-9a-z]){word}([^0-9a-z]|$)')"
+    return f"array_contains(split(lower({left}), '[^0-9a-z]+'), lower({right}))"
+
+
 class Compiler(Reader):
     """Reads tokens from left to right; `table` gives the DataFrame of a name."""
 
@@ -111,7 +119,7 @@ class Compiler(Reader):
             if self.maybe(word):
                 return f"{word}({left}, {self.sum()})"
         if self.maybe("has"):
-            return f"array_contains(split(lower({left}), '[^0-9a-z]+'), lower({self.sum()}))"
+            return has(left, self.sum())
         if self.maybe("matches"):
             self.take("regex")
             return f"({left} RLIKE {self.sum()})"

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
@@ -119,18 +120,22 @@ def fan_out(sources: dict[str, DataFrame], text: str, n: int = 500, seconds: flo
     until = time.monotonic() + seconds
     pool = ThreadPoolExecutor(threads)
 
-    def rows(df: DataFrame) -> tuple[list, list[Clause]]:
+    groups = {name: f"oxbow-{uuid.uuid4().hex}" for name in sources}
+
+    def rows(name: str, df: DataFrame) -> tuple[list, list[Clause]]:
+        df.sparkSession.sparkContext.setJobGroup(groups[name], "one source of a search", True)
         found, dropped = search(df, text, n)
         return found.collect(), dropped
 
-    waiting = {name: pool.submit(rows, df) for name, df in sources.items()}
+    waiting = {name: pool.submit(rows, name, df) for name, df in sources.items()}
     for name, future in waiting.items():
         try:
             found, dropped = future.result(max(0.0, until - time.monotonic()))
             yield "rows", name, found
             yield "source_done", name, {"rows": len(found), "dropped": dropped}
         except Late:
-            future.cancel()
+            if not future.cancel():
+                sources[name].sparkSession.sparkContext.cancelJobGroup(groups[name])
             yield "error", name, "deadline"
         except Exception as error:  # isolated: reported as a frame
             yield "error", name, str(error)

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from oxbow.functions.text import redact, tokens
+from oxbow.functions import vectors
+from oxbow.functions.text import redact, redaction_sql, tokens
 from oxbow.functions.vectors import cosine_distance
-from oxbow.operators import communities, evaluation, graph, ivf, memory, retrieval, stored_graph
+from oxbow.operators import communities, evaluation, graph, ivf, memory, recall, retrieval, stored_graph
 from oxbow.operators.patterns import Graph
+from oxbow.operators.push import forward_push
 from oxbow.plans import search_bar
 from oxbow.plans.cypher import cypher
 from oxbow.plans.kql import kql
@@ -77,31 +80,37 @@ def sql_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.subtract(t("nation").where("n_regionkey = 0").select("n_nationkey"))
 
 
-def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer as a chain: consecutive customers of nations, a graph with cycles and hubs."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.select((F.col("o_custkey") % 97).alias("src"), (F.col("o_orderkey") % 89).alias("dst"), F.col("o_orderstatus").alias("type")).distinct()
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers place orders, orders hold parts, parts are from suppliers; whole keys, four kinds of ids side by side."""
+    t = lambda name: table(spark, sf_dir, name)
+    node = lambda c, kind: F.col(c) * 4 + kind
+    items = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    return (
+        t("orders").select(node("o_custkey", 0).alias("src"), node("o_orderkey", 1).alias("dst"), F.lit("PLACED").alias("type"))
+        .unionAll(items.select(node("l_orderkey", 1), node("l_partkey", 2), F.lit("HOLDS")).distinct())
+        .unionAll(items.select(node("l_partkey", 2), node("l_suppkey", 3), F.lit("FROM")).distinct())
+    )
 
 
-EDGES = "e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 89 AS dst, o_orderstatus AS type FROM orders)"
+EDGES = "e AS MATERIALIZED (SELECT o_custkey * 4 AS src, o_orderkey * 4 + 1 AS dst, 'PLACED' AS type FROM orders UNION ALL SELECT DISTINCT l_orderkey * 4 + 1, l_partkey * 4 + 2, 'HOLDS' FROM lineitem UNION ALL SELECT DISTINCT l_partkey * 4 + 2, l_suppkey * 4 + 3, 'FROM' FROM lineitem)"
 
 
-@query("graph_var_length", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND e.type = 'F') SELECT 5::BIGINT AS src, node AS dst, min(depth)::INT AS depth FROM w GROUP BY node HAVING min(depth) >= 1")
+@query("graph_var_length", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 20::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3) SELECT 20::BIGINT AS src, node AS dst, min(depth)::INT AS depth FROM w GROUP BY node HAVING min(depth) >= 1")
 def graph_var_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = user_edges(spark, sf_dir)
-    return kql("edges | graph-var-length source 5 from src to dst min-hops 1 max-hops 3 edge-type 'F'", lambda _: edges)
+    edges = order_edges(spark, sf_dir)
+    return kql("edges | graph-var-length source 20 from src to dst min-hops 1 max-hops 3", lambda _: edges)
 
 
-@query("graph_shortest_path", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4) SELECT min(depth)::INT AS depth, min(depth) IS NOT NULL AS found FROM w WHERE node = 42")
+@query("graph_shortest_path", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 20::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4) SELECT min(depth)::INT AS depth, min(depth) IS NOT NULL AS found FROM w WHERE node = 15")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = user_edges(spark, sf_dir)
-    return kql("edges | graph-shortest-path source 3 target 42 from src to dst max-hops 4", lambda _: edges)
+    edges = order_edges(spark, sf_dir)
+    return kql("edges | graph-shortest-path source 20 target 15 from src to dst max-hops 4", lambda _: edges)
 
 
-@query("graph_traverse", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 1), m AS (SELECT node, min(depth) + 1 AS depth FROM w GROUP BY node) SELECT e.src, e.dst, e.type, m.depth::INT AS depth FROM e JOIN m ON e.src = m.node")
+@query("graph_traverse", f"WITH RECURSIVE {EDGES}, w(node, depth) AS (SELECT 28::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 1), m AS (SELECT node, min(depth) + 1 AS depth FROM w GROUP BY node) SELECT e.src, e.dst, e.type, m.depth::INT AS depth FROM e JOIN m ON e.src = m.node")
 def graph_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = user_edges(spark, sf_dir)
-    return kql("edges | graph-traverse source 7 from src to dst max-hops 2", lambda _: edges)
+    edges = order_edges(spark, sf_dir)
+    return kql("edges | graph-traverse source 28 from src to dst max-hops 2", lambda _: edges)
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -157,22 +166,26 @@ cypher_query("cypher_arithmetic", "MATCH (n)-[:SEATS]->(s) RETURN s.id, s.balanc
 cypher_query("cypher_shortest", "MATCH p = shortestPath((a)-[*..4]->(b)) WHERE a.id = 'r0' AND b.id = 'c1' RETURN length(p)", "SELECT max(2) FILTER (n_regionkey = 0)::INT AS depth FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1")
 
 
-@query("graph_k_hop", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 89 AS dst FROM orders), w(source, node, d) AS (SELECT s, s, 0 FROM (VALUES (2::BIGINT), (11::BIGINT)) v(s) UNION SELECT w.source, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node WHERE w.d < 2) SELECT source, node, min(d)::INT AS dist FROM w GROUP BY source, node")
+@query("graph_k_hop", f"WITH RECURSIVE {EDGES}, w(source, node, d) AS (SELECT s, s, 0 FROM (VALUES (8::BIGINT), (44::BIGINT)) v(s) UNION SELECT w.source, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node WHERE w.d < 2) SELECT source, node, min(d)::INT AS dist FROM w GROUP BY source, node")
 def graph_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = user_edges(spark, sf_dir)
-    return graph.k_hop(graph.steps(edges, "src", "dst"), graph.seeds(edges, [2, 11], "src"), 2)
+    edges = order_edges(spark, sf_dir)
+    return graph.k_hop(graph.steps(edges, "src", "dst"), graph.seeds(edges, [8, 44], "src"), 2)
 
 
-@query("graph_modularity", "WITH e AS (SELECT DISTINCT o_custkey % 97 AS src, o_orderkey % 89 AS dst, o_orderstatus AS type FROM orders), t AS (SELECT count(*) AS m, count(*) FILTER (src % 5 = dst % 5) AS i FROM e), d AS (SELECT c, count(*) AS n FROM (SELECT src % 5 AS c FROM e UNION ALL SELECT dst % 5 FROM e) GROUP BY c) SELECT round(any_value(i) / any_value(m) - sum(n * n) / (4.0 * any_value(m) * any_value(m)), 9)::DOUBLE AS modularity FROM t, d")
+@query("graph_modularity", f"WITH {EDGES}, t AS (SELECT count(*) AS m, count(*) FILTER (src % 5 = dst % 5) AS i FROM e), d AS (SELECT c, count(*) AS n FROM (SELECT src % 5 AS c FROM e UNION ALL SELECT dst % 5 FROM e) GROUP BY c) SELECT round(any_value(i) / any_value(m) - sum(n * n) / (4.0 * any_value(m) * any_value(m)), 9)::DOUBLE AS modularity FROM t, d")
 def graph_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = user_edges(spark, sf_dir)
+    edges = order_edges(spark, sf_dir)
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", (F.col("node") % 5).alias("community"))
     return graph.modularity(edges, nodes, "src", "dst").select(F.round("modularity", 9).alias("modularity"))
 
 
-@query("graph_communities")
+@query(
+    "graph_communities",
+    "WITH e AS (SELECT c_nationkey AS n, 'c' || c_custkey AS x FROM customer UNION ALL SELECT s_nationkey, 's' || s_suppkey FROM supplier), a AS (SELECT n, x AS node FROM e UNION SELECT n, 'n' || n FROM e), m AS (SELECT n, min(node) AS community FROM a GROUP BY n) SELECT node, community FROM a JOIN m USING (n)",
+)
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities.detect_communities(trade_graph(spark, sf_dir).edges, levels=2)
+    """Of nations and their customers and suppliers: every nation's star is best left whole."""
+    return communities.detect_communities(trade_graph(spark, sf_dir).edges.where("type <> 'HAS'"), levels=2)
 
 
 @query("graph_stats", "SELECT 'node' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL SELECT 'node', 'Customer', count(*) FROM customer UNION ALL SELECT 'node', 'Supplier', count(*) FROM supplier UNION ALL SELECT 'edge', 'HAS', count(*) FROM nation UNION ALL SELECT 'edge', 'HOSTS', count(*) FROM customer UNION ALL SELECT 'edge', 'SEATS', count(*) FROM supplier")
@@ -190,15 +203,39 @@ def graph_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_graph.subgraph(trade_graph(spark, sf_dir), ["r1"], 2).edges.select("src", "dst", "type")
 
 
-@query("graph_components")
+@query(
+    "graph_components",
+    "WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT l_partkey AS k, l_suppkey AS s FROM lineitem), l AS MATERIALIZED (SELECT DISTINCT a.s AS x, b.s AS y FROM p a JOIN p b USING (k)), r(x, y) AS (SELECT DISTINCT s, s FROM p UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y), "
+    "c AS MATERIALIZED (SELECT x, max(y) AS m FROM r GROUP BY x) SELECT -1 - x AS node, -1 - m AS component FROM c UNION ALL SELECT p.k, -1 - max(c.m) FROM p JOIN c ON c.x = p.s GROUP BY p.k",
+)
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"))
     return graph.star_components(edges)
 
 
-@query("graph_pagerank")
+RANK_ROUNDS = 12
+RANKS = ", ".join(
+    f"s{k + 1} AS MATERIALIZED (SELECT node, h * (0.15 + 0.85 * (SELECT coalesce(sum(score), 0) FROM s{k} JOIN v USING (node) WHERE d = 0)) + 0.85 * coalesce(got, 0) AS score FROM v LEFT JOIN (SELECT e.dst AS node, sum(score / d) AS got FROM e JOIN s{k} ON s{k}.node = e.src JOIN v ON v.node = e.src GROUP BY e.dst) USING (node))"
+    for k in range(RANK_ROUNDS)
+)
+
+
+@query("graph_pagerank", f"WITH {EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS d FROM e GROUP BY src), v AS MATERIALIZED (SELECT node, coalesce(d, 0) AS d, 1.0::DOUBLE / (SELECT count(*) FROM n) AS h FROM n LEFT JOIN o ON o.src = node), s0 AS MATERIALIZED (SELECT node, h AS score FROM v), {RANKS} SELECT node, round(score, 10) AS score FROM s{RANK_ROUNDS}")
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(user_edges(spark, sf_dir), "src", "dst")
+    return graph.pagerank(order_edges(spark, sf_dir), "src", "dst", rounds=RANK_ROUNDS, settled=0.0).select("node", F.round("score", 10).alias("score"))
+
+
+#: Mass only moves on along customer, order, part and supplier, so four rounds are all.
+PUSHES = ", ".join(
+    f"q{k + 1} AS MATERIALIZED (SELECT node, sum(p) AS p, sum(r) AS r, any_value(d) AS d FROM (SELECT node, p + CASE WHEN r = 0 OR r < 1e-4 * d THEN 0 WHEN d = 0 THEN r ELSE 0.15 * r END AS p, CASE WHEN r < 1e-4 * d THEN r ELSE 0 END AS r, d FROM q{k} UNION ALL SELECT e.dst, 0, 0.85 * r / q{k}.d, coalesce(o.d, 0) FROM q{k} JOIN e ON e.src = q{k}.node LEFT JOIN o ON o.src = e.dst WHERE q{k}.d > 0 AND r > 0 AND r >= 1e-4 * q{k}.d) GROUP BY node)"
+    for k in range(5)
+)
+
+
+@query("graph_ppr", f"WITH {EDGES}, o AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), q0 AS MATERIALIZED (SELECT n AS node, 0.0::DOUBLE AS p, 0.5::DOUBLE AS r, coalesce(d, 0) AS d FROM (VALUES (20::BIGINT), (28::BIGINT)) x(n) LEFT JOIN o ON o.src = n), {PUSHES} SELECT node, round(p, 10) AS score FROM q5 WHERE p > 0")
+def graph_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = order_edges(spark, sf_dir)
+    return forward_push(edges, graph.seeds(edges, [20, 28], "src"), epsilon=1e-4).select("node", F.round("score", 10).alias("score"))
 
 
 @query("vector_top10", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS distance FROM embeddings, q ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), vec_id LIMIT 10")
@@ -219,13 +256,60 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(table(spark, sf_dir, "documents"), "ther tion", "text", "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("hybrid_rrf")
+@query("hybrid_rrf", f"WITH {BM25_SQL}, t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b WHERE score > 0 QUALIFY rank < 50), k AS (SELECT doc_id, row_number() OVER (ORDER BY contains(lower(text), 'and')::INT + contains(lower(text), 'ther')::INT DESC, doc_id) - 1 AS rank FROM documents WHERE contains(lower(text), 'and') OR contains(lower(text), 'ther') QUALIFY rank < 50) SELECT doc_id AS id, round(sum(1.0 / (60 + rank)), 9)::DOUBLE AS rrf FROM (FROM t UNION ALL FROM k) GROUP BY doc_id")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical = retrieval.ranked(retrieval.bm25(table(spark, sf_dir, "documents"), "ther tion", "text", "doc_id"), [F.desc("score"), F.asc("id")], "text")
-    rows = table(spark, sf_dir, "embeddings")
-    one = rows.where("vec_id = 0").select("embedding").first()["embedding"]
-    near = retrieval.vector_topk(rows, one, "embedding", 50, "vec_id").select(F.col("vec_id").alias("id"), "distance")
-    return retrieval.fuse([lexical, retrieval.ranked(near, [F.asc("distance"), F.asc("id")], "vector")])
+    """Two legs over the same rows: BM25, and how many words a text holds."""
+    rows = table(spark, sf_dir, "documents")
+    lexical = retrieval.ranked(retrieval.bm25(rows, "ther tion", "text", "doc_id"), [F.desc("score"), F.asc("id")], "text")
+    words = rows.select(F.col("doc_id").alias("id"), memory.keyword_score("and ther", "text").alias("score")).where("score > 0")
+    return retrieval.fuse([lexical, retrieval.ranked(words, [F.desc("score"), F.asc("id")], "words")]).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+@query("sql_vector_functions", "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v), 6) AS cosine, round(list_distance(embedding::DOUBLE[], v), 6) AS l2, round(list_inner_product(embedding::DOUBLE[], v), 6) AS inner_product FROM embeddings, q")
+def sql_vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors.register(spark)
+    table(spark, sf_dir, "embeddings").createOrReplaceTempView("oxbow_embeddings")
+    return spark.sql("SELECT e.vec_id, round(cosine_distance(e.embedding, q.embedding), 6) AS cosine, round(l2_distance(e.embedding, q.embedding), 6) AS l2, round(inner_product(e.embedding, q.embedding), 6) AS inner_product FROM oxbow_embeddings e, (SELECT embedding FROM oxbow_embeddings WHERE vec_id = 0) q")
+
+
+MEMORY_SQL = """m AS (SELECT doc_id::VARCHAR AS id, source AS title, text AS content, quality::DOUBLE AS importance FROM documents LEFT JOIN labels USING (doc_id)),
+w AS (SELECT id, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^0-9a-z]+'), lambda t: length(t) >= 2) AS words FROM m),
+c AS (SELECT id, len(words) AS l, len(list_filter(words, lambda x: x = 'ther')) AS t0, len(list_filter(words, lambda x: x = 'tion')) AS t1 FROM w),
+s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c),
+b AS (SELECT id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * l / a)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * l / a)) AS score FROM c, s),
+r AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) AS rrf FROM b WHERE score > 0 ORDER BY score DESC, id LIMIT 50),
+e AS (SELECT doc_id::VARCHAR AS src, next::VARCHAR AS dst FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents) WHERE next IS NOT NULL),
+g AS (SELECT DISTINCT dst AS id FROM (SELECT src, dst FROM (SELECT src, dst FROM e UNION SELECT dst, src FROM e) WHERE src IN (SELECT id FROM r ORDER BY rrf DESC, id LIMIT 10) ORDER BY src, dst LIMIT 200)),
+f AS (SELECT id, rrf, CASE WHEN g.id IS NOT NULL THEN 1.0 END AS graph FROM r FULL JOIN g USING (id))"""
+
+
+def document_memories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as memories (their label as importance), each linked to the next of its source."""
+    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    told = {"id": F.col("doc_id").cast("string"), "title": F.col("source"), "content": F.col("text"), "importance": F.col("quality").cast("double"), "version": F.lit(1)}
+    fields = T.StructType.fromDDL(memory.NODE)
+    nodes = documents.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
+    edges = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("src"), following.cast("string").alias("dst")).where("dst is not null")
+    return nodes, edges
+
+
+@query("memory_retrieve", f"WITH {MEMORY_SQL} SELECT id, round(coalesce(rrf, 0) + 0.3 * (contains(lower(title || ' ' || content), 'ther')::INT + contains(lower(title || ' ' || content), 'tion')::INT) / 2 + 0.5 * coalesce(graph, 0) + 0.4 * coalesce(importance, 0) + 0.15, 9)::DOUBLE AS score FROM f JOIN m USING (id) ORDER BY 2 DESC, id LIMIT 20")
+def memory_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = document_memories(spark, sf_dir)
+    return recall.retrieve(nodes, edges, "ther tion", k=20, diverse=False).select("id", F.round("score", 9).alias("score"))
+
+
+def source_leg(name: str, rows: str) -> str:
+    return f"""SELECT '{name}' AS source, id::VARCHAR AS id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id::VARCHAR) - 1) AS rrf FROM (
+WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda t: length(t) >= 2) AS words FROM ({rows})), c AS (SELECT id, len(words) AS l, len(list_filter(words, lambda x: x = 'tion')) AS t FROM w),
+s AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (t > 0) AS d FROM c) SELECT id, ln(1 + (n - d + 0.5) / (d + 0.5)) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * l / a)) AS score FROM c, s WHERE t > 0) QUALIFY row_number() OVER (ORDER BY score DESC, id::VARCHAR) <= 50"""
+
+
+@query("unified_search", f"SELECT source, id, round(rrf, 9) AS rrf FROM (({source_leg('benchmark', 'SELECT item_id AS id, text FROM benchmark')}) UNION ALL ({source_leg('documents', 'SELECT doc_id AS id, text FROM documents')})) ORDER BY rrf DESC, source, id LIMIT 30")
+def unified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = {"documents": (table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "benchmark": (table(spark, sf_dir, "benchmark"), "item_id")}
+    return recall.unified_search(spark, "data", "tion", k=30, sources=sources).select("source", "id", F.round("rrf", 9).alias("rrf"))
 
 
 @query("latest_version", "SELECT user_id, event_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -246,7 +330,7 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
 
 
-@query("redaction")
+@query("redaction", "SELECT doc_id, " + redaction_sql("text") + " AS text FROM documents")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("text"))
 
@@ -298,12 +382,15 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where(condition)
 
 
-@query("ann_topk")
-def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("ann_recall", "SELECT 10 AS found, true AS enough")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the rows that an index over all vectors returns, and whether they are nine tenths of the nearest."""
     rows = table(spark, sf_dir, "embeddings")
     cells = ivf.Cells.fit(rows, "vec_id", "embedding")
     one = rows.where("vec_id = 0").select("embedding").first()["embedding"]
-    return ivf.ann_topk(ivf.build_index(rows, cells, "vec_id", "embedding"), cells, one)
+    found = ivf.ann_topk(ivf.build_index(rows, cells, "vec_id", "embedding"), cells, one)
+    best = retrieval.vector_topk(rows, one, "embedding", 10, "vec_id").select(F.col("vec_id").alias("id"), F.lit(True).alias("best"))
+    return found.join(best, "id", "left").agg(F.count("*").cast("int").alias("found"), (F.count("best") >= 9).alias("enough"))
 
 
 @query("keyword_score", "SELECT doc_id, (contains(lower(text), 'ther')::INT + contains(lower(text), 'tion')::INT) AS score FROM documents WHERE contains(lower(text), 'ther') OR contains(lower(text), 'tion')")
@@ -324,7 +411,13 @@ def memory_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(memory.salience(F.col("c_nationkey"), F.col("c_custkey") % 50, F.col("c_custkey") % 31), 9).alias("salience"))
 
 
-@query("chunks")
+@query(
+    "chunks",
+    "WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents), "
+    "w(doc_id, i, c, n) AS (SELECT doc_id, 1::BIGINT, 0, length(line) FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN n + 1 + length(line) <= 1500 THEN c ELSE c + 1 END, CASE WHEN n + 1 + length(line) <= 1500 THEN n + 1 + length(line) ELSE length(line) END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1), "
+    "t AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk FROM w JOIN l USING (doc_id, i) GROUP BY doc_id, c) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1)::INT AS part, chunk FROM t WHERE length(trim(chunk, ' ')) > 0",
+)
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(memory.chunks(F.col("text"))).alias("part", "chunk"))
 

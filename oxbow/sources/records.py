@@ -85,6 +85,62 @@ def otlp_logs(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+#: Labels of a span's status code.
+STATUS = {1: "OK", 2: "ERROR"}
+
+
+def otlp_traces(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of exported OTLP trace JSON: one per span; the attributes `subject` and `tenant` are columns, the rest JSON."""
+    attribute = "array<struct<key: string, value: struct<stringValue: string, intValue: string, boolValue: boolean, doubleValue: double>>>"
+    span = f"struct<traceId: string, spanId: string, parentSpanId: string, name: string, kind: int, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: int, message: string>, attributes: {attribute}>"
+    schema = f"resourceSpans array<struct<resource: struct<attributes: {attribute}>, scopeSpans: array<struct<spans: array<{span}>>>>>"
+    one = lines.select(F.explode(F.from_json(column, schema)["resourceSpans"]).alias("r"))
+    spans = one.select("r.resource", F.explode(F.flatten(F.transform("r.scopeSpans", lambda s: s["spans"]))).alias("s"))
+    plain = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["boolValue"].cast("string"), v["doubleValue"].cast("string"))
+    named = lambda of, name: F.get(F.transform(F.filter(of, lambda a: a["key"] == name), lambda a: plain(a["value"])), F.lit(0))
+    rest = F.map_from_entries(F.transform(F.filter("s.attributes", lambda a: ~a["key"].isin("subject", "tenant")), lambda a: F.struct(a["key"], plain(a["value"]))))
+    status = F.lit("UNSET")
+    for code, label in STATUS.items():
+        status = F.when(F.col("s.status.code") == code, label).otherwise(status)
+    start, end = F.col("s.startTimeUnixNano").cast("decimal(20,0)"), F.col("s.endTimeUnixNano").cast("decimal(20,0)")
+    return spans.select(
+        event_time(start.cast("double")).alias("timestamp"), "s.traceId", "s.spanId", "s.parentSpanId", "s.name", "s.kind", status.alias("status"), (end - start).cast("long").alias("duration_ns"),
+        named(F.col("resource.attributes"), "service.name").alias("service_name"), named(F.col("s.attributes"), "subject").alias("subject"), named(F.col("s.attributes"), "tenant").alias("tenant"),
+        F.coalesce(F.to_json(rest), F.lit("{}")).alias("attributes_json"),
+    )
+
+
+def in_scope(names: list[str], patterns: list[str] | None = None, hidden: tuple[str, ...] = ("system", "information_schema"), most: int = 200) -> list[str]:
+    """The `db.table` names that a pattern takes: `*` stands for one whole part; no patterns mean all but hidden databases.
+
+    More than `most` names are an error, as a search over them would be.
+    """
+    fits = lambda pattern, name: all(p in ("*", part) for p, part in zip(pattern.split(".", 1), name.split(".", 1), strict=False)) and "." in pattern
+    if patterns is None:
+        found = [n for n in names if n.split(".", 1)[0] not in hidden]
+    else:
+        found = [n for n in names if any(fits(p, n) for p in patterns)]
+    if len(found) > most:
+        raise ValueError(f"the scope holds {len(found)} tables, more than {most}")
+    return found
+
+
+def graph_rows(df: DataFrame, vendor: str, labels: str = "labels", id_col: str = "id") -> DataFrame:
+    """Nodes of any graph source as (id, label, type, props): the first label, `vendor::snake_case` of it, other columns as JSON."""
+    label = F.get(F.col(labels), F.lit(0)) if isinstance(df.schema[labels].dataType, T.ArrayType) else F.col(labels)
+    snake = F.lower(F.regexp_replace(F.regexp_replace(label, "([a-z0-9])([A-Z])", "$1_$2"), "[^A-Za-z0-9]+", "_"))
+    others = [c for c in df.columns if c not in (labels, id_col)]
+    return df.select(F.col(id_col).cast("string").alias("id"), label.alias("label"), F.concat(F.lit(f"{vendor}::"), snake).alias("type"), F.to_json(F.struct(*others)).alias("props") if others else F.lit("{}").alias("props"))
+
+
+def chosen_graph(graphs: dict[str, object], name: str | None = None) -> object:
+    """The graph called `name` (`db/graph`, or its last part where that is unique); the only one there is without a name."""
+    found = [k for k in graphs if name is None or k == name or k.rsplit("/", 1)[-1] == name]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} graphs fit; there are: {', '.join(sorted(graphs))}")
+    return graphs[found[0]]
+
+
 def references_to(tables: dict[str, DataFrame], value: str, most: int = 200) -> DataFrame:
     """(table, column) of every string column that holds `value`; a report of `most` rows at most."""
     out = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,4 +27,18 @@ def append_once(stream: DataFrame, path: str, checkpoint: str, available_now: bo
 
 def windowed_counts(stream: DataFrame, time_col: str, size: str, late: str, *keys: str) -> DataFrame:
     """Counts per tumbling window and keys; rows later than `late` are dropped, so state stays bounded."""
-    return stream.withWatermark(time_col, late).groupBy(F.window(time_col, size), *keys).count().select(F.col("window.start").alias("start"), *keys, "count")
+    return spans(stream, time_col, F.window(time_col, size), late, *keys)
+
+
+def sliding_counts(stream: DataFrame, time_col: str, size: str, slide: str, late: str, *keys: str) -> DataFrame:
+    """Counts per window of `size` that begins every `slide`."""
+    return spans(stream, time_col, F.window(time_col, size, slide), late, *keys)
+
+
+def session_counts(stream: DataFrame, time_col: str, gap: str, late: str, *keys: str) -> DataFrame:
+    """Counts per session: rows of the keys that follow each other within `gap`."""
+    return spans(stream, time_col, F.session_window(time_col, gap).alias("window"), late, *keys)
+
+
+def spans(stream: DataFrame, time_col: str, window: Column, late: str, *keys: str) -> DataFrame:
+    return stream.withWatermark(time_col, late).groupBy(window, *keys).count().select(F.col("window.start").alias("start"), *keys, "count")

@@ -121,7 +121,7 @@ def test_graph_components_over_all_rows(spark):
         return x
 
     for part, supplier in rows:
-        a, b = find(part), find(-supplier)
+        a, b = find(part), find(-1 - supplier)
         root[max(a, b)] = min(a, b)
     from oxbow.queries import QUERIES as own
 

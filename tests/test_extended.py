@@ -128,7 +128,7 @@ def test_memory_writes(spark):
     moment = F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz")
     verdicts = spark.createDataFrame([("a", "b", "supersedes"), ("b", "a", "merged"), ("a", "b", "related")], "src string, dst string, verdict string")
     versions, edges = memory.judged(nodes, verdicts, moment)
-    assert rows(versions.select("id", "version", "status", F.col("invalid_at").isNotNull())) == [("b", 3, "archived", False), ("b", 3, None, True)]
+    assert rows(versions.select("id", "version", "status", F.col("invalid_at").isNotNull())) == [("b", 3, "archived", True)]
     assert rows(edges.select("src", "dst", "type")) == [("a", "b", "INVALIDATES"), ("a", "b", "RELATES_TO"), ("b", "a", "MERGED_INTO")]
     one = {"id": "n", "realm": "r", "kind": "fact", "content": "new", "vector": [0.1, 1.0]}
     versions, edges = memory.consolidated(nodes, one, lambda new, near: ("INVALIDATE", near[0]["id"]), moment)
