@@ -30,19 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import held
-from oxbow.llm.vectors import matrix, usable
+from oxbow.llm.caches import held, tidy
+from oxbow.llm.groups import PAIR, whole_groups
+from oxbow.llm.vectors import matrix, units, usable
 from oxbow.operators.components import star_components
 from oxbow.session import checkpointed
 
-CROWD = 6.0
-COVER = 2.0
+CROWD = 256.0
+COVER = 0.5
 MISS = 0.002
 #: Filters are numbered by dimension, code (7 bits) and pair of directions (37 bits).
 MOST_CODES = 128
-SPLIT = 2048
-#: From this size on, a group's shared filters are found by one matrix product.
-CROWDED = 24
+SPLIT = 1024
+#: From so many near pairs on, a group's shared filters are found by one matrix product.
+CROWDED = 512
 LEAST_ALPHA, MOST_ALPHA = 0.0, 0.8
 
 
@@ -150,85 +151,91 @@ def share_earlier(lists: np.ndarray, current: int) -> np.ndarray:
     return (table @ table.T) > 0
 
 
-def compare(table: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of `table` (sorted by group) that are linked and met first in their group.
+def near_pairs(group: np.ndarray, side: np.ndarray, unit: np.ndarray, raw: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (rows sorted by group) whose cosine reaches `threshold`, in double precision on the original vectors.
 
     side: 0 for rows of a group that is not split (all pairs count), 1 and 2 for the two sub-blocks.
     """
-    group, vectors, side = table["group"], table["v"], table["side"]
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    sizes = np.diff(cuts)
-    lefts, rights = [], []
-    # groups of one size are compared together
-    for size in np.unique(sizes[sizes > 1]):
-        begin = cuts[:-1][sizes == size]
-        step = max(1, 4_000_000 // int(size * size + size * vectors.shape[1]))
-        for k in range(0, len(begin), step):
-            at = begin[k : k + step, None] + np.arange(size)
-            x, s = vectors[at], side[at]
-            near = np.einsum("gid,gjd->gij", x, x, optimize=True) >= threshold - 1e-9
-            near &= np.triu(np.ones((size, size), bool), 1)
-            near &= ~((s[:, :, None] == s[:, None, :]) & (s[:, :, None] > 0))
-            if size >= CROWDED:
-                for g in range(len(near)):
-                    near[g] &= ~share_earlier(table["filters"][at[g]], int(table["filter"][at[g, 0]]))
-            g, i, j = np.nonzero(near)
-            a, b = at[g, i], at[g, j]
-            if size < CROWDED:
-                ok = first_shared(table["filters"][a], table["filters"][b], table["filter"][a])
-                a, b = a[ok], b[ok]
-            lefts.append(a)
-            rights.append(b)
-    if not lefts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for k in range(begin, end, 512):
+            rows = slice(k, min(k + 512, end))
+            i, j = np.nonzero(unit[rows] @ unit[k:end].T >= threshold - 1e-5)
+            i, j = i[i < j] + k, j[i < j] + k
+            ok = (side[i] != side[j]) | (side[i] == 0)
+            lefts.append(i[ok])
+            rights.append(j[ok])
     a, b = np.concatenate(lefts), np.concatenate(rights)
-    # the verdict itself, pair by pair, on the original vectors
-    raw, norm = table["raw"], np.sqrt(np.einsum("ij,ij->i", table["raw"], table["raw"]))
-    keep = np.empty(len(a), bool)
+    norm, keep = np.sqrt(np.einsum("ij,ij->i", raw, raw)), np.empty(len(a), bool)
     for k in range(0, len(a), 65536):
         i, j = a[k : k + 65536], b[k : k + 65536]
         keep[k : k + 65536] = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j]) >= threshold
     return a[keep], b[keep]
 
 
-def links_of_partition(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; a group that a batch cuts is carried over to the next."""
-    carried: pa.Table | None = None
-
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        raw = matrix(rows["v"]).astype(np.float64)
-        lists = rows["filters"].combine_chunks()
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        width = int(sizes.max())
-        filled = np.tile(-2 - np.arange(width, dtype=np.int64), (len(sizes), 1))
-        place = np.arange(width) < sizes[:, None]
-        filled[place] = lists.flatten().to_numpy()
-        ids, weight = rows["id"].to_numpy(), rows["weight"].to_numpy()
-        keys = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("filter", "one", "two")], axis=1)
-        group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).any(axis=1).astype(np.int64)]))
-        table = {"group": group, "filter": keys[:, 0], "filters": filled, "raw": raw, "v": raw / np.linalg.norm(raw, axis=1, keepdims=True), "side": rows["side"].to_numpy()}
-        a, b = compare(table, threshold)
-        if len(a):
-            nodes, labels = smallest_labels(ids[a], ids[b])
-            order = np.searchsorted(nodes, np.concatenate([ids[a], ids[b]]))
-            counts = np.bincount(order, weights=np.concatenate([weight[b], weight[a]]), minlength=len(nodes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels), pa.array(counts)], ["id", "other", "links"])
-
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([carried, rows]) if carried is not None else rows
-        if not len(rows):
+def met_first(a: np.ndarray, b: np.ndarray, group: np.ndarray, current: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair share no filter below the one that they meet in; lists: all filters of the rows that pairs name."""
+    keep = np.ones(len(a), bool)
+    cuts = np.flatnonzero(np.concatenate([[True], group[a][1:] != group[a][:-1], [True]]))
+    few = []
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if end - begin < CROWDED:
+            few.append(np.arange(begin, end))
             continue
-        last = [rows[c][-1].as_py() for c in ("filter", "one", "two")]
-        same = np.ones(len(rows), bool)
-        for c, x in zip(("filter", "one", "two"), last, strict=True):
-            same &= rows[c].to_numpy() == x
-        cut = len(rows) - int(same.sum())
-        carried = rows.slice(cut)
-        if cut:
-            yield from work(rows.slice(0, cut).combine_chunks())
-    if carried is not None and len(carried):
-        yield from work(carried.combine_chunks())
+        rows, at = np.unique(np.concatenate([a[begin:end], b[begin:end]]), return_inverse=True)
+        shared = share_earlier(lists[rows], int(current[rows[0]]))
+        keep[begin:end] = ~shared[at[: end - begin], at[end - begin :]]
+    if few:
+        at = np.concatenate(few)
+        keep[at] = first_shared(lists[a[at]], lists[b[at]], current[a[at]])
+    return keep
+
+
+def filters_of(unit: np.ndarray, dim: int, plan: tuple[float, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters of all codes, sorted by row and filter."""
+    alpha, words, count = plan
+    codes = held(("caps", dim, words, count), lambda: [directions(dim, words, c) for c in range(count)])
+    rows, filters = [], []
+    for c, (turn, *code) in enumerate(codes):
+        row, found = decode(unit @ turn, code, alpha)
+        rows.append(row)
+        filters.append(found + (c << 37) + (dim << 44))
+    row, found = np.concatenate(rows), np.concatenate(filters)
+    order = np.lexsort([found, row])
+    return row[order], found[order]
+
+
+@tidy
+def links_of_partition(batches: Iterator[pa.RecordBatch], threshold: float, plans: dict[int, tuple[float, int, int]]) -> Iterator[pa.RecordBatch]:
+    """(id, other, links) of rows (filter, one, two, side, id, weight, v) sorted by the first three.
+
+    The filters of a row are computed again here for the rows of near pairs alone: shipping them with every row would double the shuffle.
+    """
+    for rows, group in whole_groups(batches, ("filter", *PAIR)):
+        ids, weight, current, side = (rows[c].to_numpy() for c in ("id", "weight", "filter", "side"))
+        for dim in np.unique(current >> 44).tolist():
+            at = np.flatnonzero(current >> 44 == dim)
+            raw = matrix(rows["v"].take(pa.array(at))).astype(np.float64)
+            unit = units(raw)
+            a, b = near_pairs(group[at], side[at], unit, raw, threshold)
+            if not len(a):
+                continue
+            named = np.unique(np.concatenate([a, b]))
+            names, place = np.unique(ids[at][named], return_index=True)
+            row, found = filters_of(unit[named[place]], dim, plans[dim])
+            counts = np.bincount(row, minlength=len(names))
+            lists = np.tile(-2 - np.arange(int(counts.max()), dtype=np.int64), (len(at), 1))
+            filled = np.tile(-2 - np.arange(int(counts.max()), dtype=np.int64), (len(names), 1))
+            filled[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = found
+            lists[named] = filled[np.searchsorted(names, ids[at][named])]
+            keep = met_first(a, b, group[at], current[at], lists)
+            a, b = at[a[keep]], at[b[keep]]
+            if len(a):
+                nodes, labels = smallest_labels(ids[a], ids[b])
+                order = np.searchsorted(nodes, np.concatenate([ids[a], ids[b]]))
+                sums = np.bincount(order, weights=np.concatenate([weight[b], weight[a]]), minlength=len(nodes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels), pa.array(sums)], ["id", "other", "links"])
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
@@ -241,50 +248,35 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     id has a null component and, like any, n_links. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("own_id"), F.col(vector_col).alias("v"), usable(F.col(vector_col)).alias("ok"))
-    kind = rows.schema["v"].dataType.simpleString()
     distinct = rows.where("ok").groupBy("v").agg(F.min("own_id").alias("least"), F.count("*").alias("weight"))
     # ids of the classes are their smallest row ids, made unique where a row id repeats or is null
     classes = checkpointed(distinct.select(F.monotonically_increasing_id().alias("id"), "least", "weight", "v", F.size("v").alias("dim")))
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row per vector length
     plans = {dim: parameters(n, dim, threshold) for dim, n in sizes.items()}
 
+    @tidy
     def list_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                raw = matrix(part.column("v")).astype(np.float64)
-                alpha, words, count = plans[int(dim)]
-                unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-                codes = held(("caps", int(dim), words, count), lambda: [directions(int(dim), words, c) for c in range(count)])  # noqa: B023
+                unit = units(matrix(part.column("v")).astype(np.float64))
                 for k in range(0, len(unit), 2048):
-                    rows, filters = [], []
-                    for c, (turn, *code) in enumerate(codes):
-                        row, found = decode(unit[k : k + 2048] @ turn, code, alpha)
-                        rows.append(row + k)
-                        filters.append(found + (c << 37))
-                    row, found = np.concatenate(rows), np.concatenate(filters)
-                    order = np.lexsort([found, row])
-                    row, found = row[order], found[order] + (int(dim) << 44)
-                    counts = np.bincount(row, minlength=len(unit))
-                    lists = np.split(found, np.cumsum(counts[k : k + 2048])[:-1])
-                    yield pa.RecordBatch.from_arrays([part.column("id").slice(k, 2048), part.column("weight").slice(k, 2048), part.column("v").slice(k, 2048), pa.array(lists, pa.list_(pa.int64()))], ["id", "weight", "v", "filters"])
-
-    listed = classes.select("id", "weight", "v", "dim").mapInArrow(list_filters, f"id long, weight long, v {kind}, filters array<long>")
-    entries = listed.select("id", "weight", "v", "filters", F.explode("filters").alias("filter"))
-    crowds = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("members")).where("members > 1")
-    parts = F.ceil(F.col("members") / SPLIT).cast("int")
-    members = entries.join(crowds, "filter").withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    pairs = F.when(
-        F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side")))
-    ).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("parts") - 1),
-            lambda o: F.struct(F.least(o, "sub").alias("one"), F.greatest(o, "sub").alias("two"), F.when(o == F.col("sub"), 0).when(F.col("sub") < o, 1).otherwise(2).alias("side")),
-        )
+                    row, found = filters_of(unit[k : k + 2048], dim, plans[dim])
+                    chosen = part.slice(k, 2048)
+                    yield pa.RecordBatch.from_arrays([chosen.column("id").take(pa.array(row)), pa.array(found)], ["id", "filter"])
+
+    listed = checkpointed(classes.select("id", "v", "dim").mapInArrow(list_filters, "id long, filter long"))
+    crowds = listed.groupBy("filter").agg(F.count("*").alias("members")).where("members > 1").select("filter", F.ceil(F.col("members") / SPLIT).cast("int").alias("parts"))
+    entries = listed.join(crowds, "filter").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # a vector joins its filters by id, so only filters that others share are paid for with a vector
+    members = entries.join(classes.select("id", "weight", "v"), "id")
+    places = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.least(o, "sub").alias("one"), F.greatest(o, "sub").alias("two"), F.when(o == F.col("sub"), 0).when(F.col("sub") < o, 1).otherwise(2).alias("side")),
     )
-    dealt = members.select("id", "weight", "v", "filters", "filter", F.explode(pairs).alias("p")).select("id", "weight", "v", "filters", "filter", "p.one", "p.two", "p.side")
-    found = checkpointed(dealt.repartition("filter", "one", "two").sortWithinPartitions("filter", "one", "two").mapInArrow(lambda b: links_of_partition(b, threshold), "id long, other long, links long"))
+    dealt = members.withColumn("place", F.explode(places)).select("filter", "place.one", "place.two", "place.side", "id", "weight", "v")
+    found = checkpointed(dealt.repartition("filter", *PAIR).sortWithinPartitions("filter", *PAIR).mapInArrow(lambda b: links_of_partition(b, threshold, plans), "id long, other long, links long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = star_components(found.select("id", "other"), "id", "other")
     named = classes.join(joined, classes["id"] == joined["node"], "left").select("id", "least", "weight", "v", F.coalesce("component", "id").alias("component"))

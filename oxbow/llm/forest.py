@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oxbow.llm.caches import tidy
-from oxbow.llm.vectors import matrix, usable
+from oxbow.llm.vectors import matrix, units, usable
 
 TREES = 128
 BITS = 64
@@ -48,11 +48,6 @@ def hash_strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return np.packbits(unit @ planes >= 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def units(vectors: np.ndarray) -> np.ndarray:
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
-
-
 def common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The length of the common prefix."""
     return BITS - np.where(a == b, 0, np.frexp((a ^ b).astype(np.float64))[1]).clip(0, BITS)

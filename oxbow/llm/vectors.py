@@ -19,3 +19,9 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in single precision, whatever their scale."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
