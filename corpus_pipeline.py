@@ -18,10 +18,15 @@ from oxbow.session import remove_folder, shared_folder, table
 CERTAIN = 0.4
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all columns as `document`, so that none clashes with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the classifier's threshold."""
     model = quality.train_on(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.score_documents(whole_rows(docs), model, keep=["document"]).where("predicted = 1").select("document.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +34,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.train_on(docs)
     if not model.labels:
         return docs
-    found = language.identify_documents(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= CERTAIN)).select(*docs.columns)
+    found = language.identify_documents(whole_rows(docs), model, keep=["document"])
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= CERTAIN)).select("document.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +54,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that repeat 100-byte strings of earlier ones."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = repeats.remove_repeats(docs, with_text=True, keep=others)
-    return cut.select(*others, F.col("kept_text").alias("text"), F.char_length("kept_text").cast("long").alias("n_chars")).select(*docs.columns)
+    cut = repeats.remove_repeats(whole_rows(docs), with_text=True, keep=["document"])
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return cut.select(*[new.get(c, F.col("document").getField(c)).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
