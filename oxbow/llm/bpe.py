@@ -144,7 +144,8 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns id_col, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
     decoded_sha256 (of the bytes decoded from the ids), and the ids too if `with_ids`. A null text
-    counts as empty; repeated rows, null ids and other columns of any name are fine.
+    counts as empty; repeated rows, null ids, texts of any length and other columns of any name are fine; an empty
+    table gives no rows.
     """
     shared = vocabulary.shared(df.sparkSession, path or vocabulary.default("byte_bpe_50k.tiktoken"))
 

@@ -245,7 +245,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     the smallest id reachable by links. A vector that is null, empty, zero or holds null or
     non-finite components has no link and is its own component. Vectors are compared with vectors of
     their own length only. Rows that repeat an id are vectors of their own, linked if near; a null
-    id has a null component and, like any, n_links. Other columns are not read.
+    id has a null component and, like any, n_links. Ties don't arise; an empty table gives no rows. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("own_id"), F.col(vector_col).alias("v"), usable(F.col(vector_col)).alias("ok"))
     distinct = rows.where("ok").groupBy("v").agg(F.min("own_id").alias("least"), F.count("*").alias("weight"))

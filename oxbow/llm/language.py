@@ -190,8 +190,8 @@ def identify_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text
     """id_col, lang_pred, score for every row of `df` (and the columns in `keep`); no shuffle.
 
     A null text, or one without a letter, has `und` and score 0. If nothing could be learned, all
-    have. Ties go to the language that sorts first. Whole texts are read; repeated rows, null ids
-    and other columns are fine.
+    have. Ties go to the language that sorts first. Whole texts are read, however long; repeated rows, null ids
+    and other columns are fine; an empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # some 60 KB
 

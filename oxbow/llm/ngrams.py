@@ -117,6 +117,17 @@ def fine_point(grams: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
+def packed_point(counts: np.ndarray) -> bytes:
+    """Counts per group in two bytes each, or in four where one needs it."""
+    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
+
+
+def unpacked_points(raw: list[bytes]) -> np.ndarray:
+    if all(len(p) == 2 * GROUPS for p in raw):
+        return np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), GROUPS)
+    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * GROUPS else "<u4").astype("<u4") for p in raw])
+
+
 def fine_bound(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
     """What the sets of rows x and y share at most, by their fine points, the larger folded to the smaller's groups."""
     out = np.zeros(len(x), np.int64)
@@ -171,13 +182,12 @@ def describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         often = counts >= 2
         frequent = np.empty(int(often.sum()), COUNT)
         frequent["gram"], frequent["count"] = names[often], counts[often]
-        points = np.minimum(points, 65535).astype("<u2")
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(sizes),
                 pa.array([p.tobytes() for p in prints], pa.binary()),
-                pa.array([p.tobytes() for p in points], pa.binary()),
+                pa.array([packed_point(p) for p in points], pa.binary()),
                 pa.array(fine, pa.binary()),
                 pa.array([None] * (n - 1) + [frequent.tobytes()], pa.binary()),
             ],
@@ -355,7 +365,7 @@ def candidates(batches: Iterator[pa.RecordBatch], threshold: tuple[int, int], be
     """
     for rows, group in whole_groups(batches, ("block", *PAIR)):
         docs, sizes, side, component = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "n", "side", "component"))
-        points = np.frombuffer(b"".join(rows["point"].to_pylist()), "<u2").reshape(len(rows), GROUPS)
+        points = unpacked_points(rows["point"].to_pylist())
         raw = [] if best_only else rows["fine"].to_pylist()
         cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         wide = np.diff(cuts)
@@ -443,7 +453,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_shingles is the size of the document's set, component_id the smallest id reachable by links
     (itself included). Documents without words (null text too) have no n-gram and no link. Rows that
     repeat an id are one document; of different texts the greatest counts. Rows with a null id link
-    with nothing and have a null component. Other columns are not read.
+    with nothing and have a null component. Texts of any length count whole; an empty table gives no rows. Other columns are not read.
     """
     over, under = threshold
     named = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("data"))

@@ -106,7 +106,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (, ids).
 
     `window` is a power of two. A null or empty text has the end id alone, so one piece of length 1;
-    every row of `df` is packed, repeated rows and null ids as well; other columns are not read.
+    every row of `df` is packed, repeated rows, null ids and texts of any length as well; other columns are not read,
+    and an empty table gives no rows.
     Nothing is shuffled. sequence_id is unique; it follows the order of the input's splits.
     """
     if window & (window - 1) or window < 1:

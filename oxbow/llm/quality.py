@@ -152,8 +152,8 @@ class Scorer:
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """id_col, score, predicted for every row of `df` (and the columns in `keep`); no shuffle.
 
-    Null and empty texts have the score of the bias alone. Whole texts are read; repeated rows, null
-    ids and other columns are fine.
+    Null and empty texts have the score of the bias alone. Whole texts are read, however long; repeated rows, null
+    ids and other columns are fine; an empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # ROWS floats, 256 KB
 

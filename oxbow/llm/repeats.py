@@ -359,7 +359,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one document: equal strings at the same place of its texts are none earlier than the other, and
     a text only loses what it holds itself. Documents without an id count as later than all others,
     each different text as a document of its own (in the order of a hash of the text); equal rows are
-    one. Texts shorter than `span` stay whole. Other columns are not read.
+    one. Texts shorter than `span` stay whole, of any length all is read; an empty table gives no rows. Other columns are not read.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NAMELESS)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row")
     texts = df.select(*key, F.coalesce(F.col(text_col), F.lit("")).alias("data"))
