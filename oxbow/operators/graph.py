@@ -2,6 +2,8 @@
 
 Every hop is one join of the frontier with the edges and one anti join with what was visited, so
 cycles and dense graphs cost their edges once per hop, not their walks. Each hop is checkpointed.
+A frontier, and what was visited, is broadcast while it has MOST_BROADCAST rows at most (counted), so
+that the edges are scanned and not shuffled; beyond that all is joined by shuffles.
 """
 
 from __future__ import annotations
@@ -12,27 +14,41 @@ from pyspark.sql import functions as F
 from oxbow.operators.components import star_components
 from oxbow.session import checkpointed
 
+#: Rows of (source, node, distance) that a broadcast may hold, some 60 MB.
+MOST_BROADCAST = 1_000_000
+
 
 def steps(edges: DataFrame, src: str, dst: str, direction: str = "forward", edge_type: str | None = None, type_col: str = "type") -> DataFrame:
-    """Distinct (u, v) that one hop may take, both ways if `direction` is neither forward nor backward."""
+    """(u, v) that one hop may take, both ways if `direction` is neither forward nor backward; parallel edges repeat."""
     if edge_type is not None:
         edges = edges.where(F.col(type_col) == edge_type)
     forth = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     back = forth.select(F.col("v").alias("u"), F.col("u").alias("v"))
     found = {"forward": forth, "backward": back}.get(direction, forth.unionAll(back))
-    return found.where("u is not null and v is not null").distinct()
+    return found.where("u is not null and v is not null")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` of so many rows (counted), to be broadcast if that is few enough."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-def k_hop(hops: DataFrame, sources: DataFrame, k: int) -> DataFrame:
-    """(source, node, dist) of the nodes within k steps of each row of `sources` (one column), at their shortest distance, source included."""
-    seen = sources.distinct().toDF("source").select("source", F.col("source").alias("node"), F.lit(0).alias("dist"))
-    frontier = seen
+def k_hop(hops: DataFrame, sources: DataFrame, k: int, target: str | None = None) -> DataFrame:
+    """(source, node, dist) of the nodes within k steps of each row of `sources` (one column), at their shortest distance, source included.
+
+    With a `target` (as text) it ends with the hop that reaches it from any source.
+    """
+    seen = frontier = checkpointed(sources.distinct().toDF("source").select("source", F.col("source").alias("node"), F.lit(0).alias("dist")))
+    met = F.coalesce(F.max(F.col("node").cast("string") == F.lit(target)), F.lit(False))
+    size, reached = frontier.agg(F.count("*"), met).first()
+    total = size
     for dist in range(1, k + 1):
-        new = frontier.join(hops, frontier["node"] == hops["u"]).select("source", F.col("v").alias("node")).distinct()
-        frontier = checkpointed(new.join(seen, ["source", "node"], "left_anti").withColumn("dist", F.lit(dist)))
-        if frontier.isEmpty():
+        if reached or not size:
             break
-        seen = seen.unionAll(frontier)
+        new = hops.join(small(frontier, size), F.col("node") == F.col("u")).select("source", F.col("v").alias("node")).distinct()
+        frontier = checkpointed(new.join(small(seen, total), ["source", "node"], "left_anti").withColumn("dist", F.lit(dist)))
+        size, reached = frontier.agg(F.count("*"), met).first()
+        seen, total = seen.unionAll(frontier), total + size
     return seen
 
 
@@ -62,7 +78,7 @@ def var_length(edges: DataFrame, sources: list, src: str, dst: str, least: int,
 
 def shortest_path(edges: DataFrame, source: object, target: object, src: str, dst: str, max_hops: int, direction: str = "forward") -> DataFrame:
     """One row (depth, found); depth is null if the target is not reached."""
-    reach = k_hop(steps(edges, src, dst, direction), seeds(edges, [source], src), max_hops)
+    reach = k_hop(steps(edges, src, dst, direction), seeds(edges, [source], src), max_hops, str(target))
     return reach.where(F.col("node").cast("string") == str(target)).agg(F.min("dist").alias("depth")).select("depth", F.col("depth").isNotNull().alias("found"))
 
 
@@ -88,7 +104,7 @@ def pagerank(edges: DataFrame, src: str, dst: str, seeds_df: DataFrame | None =
 
     It ends when a round changes all scores by less than `settled` together (looked at every five rounds), or after `rounds`.
     """
-    hops = steps(edges, src, dst)
+    hops = steps(edges, src, dst).distinct()
     nodes = hops.select(F.col("u").alias("node")).unionAll(hops.select("v")).distinct()
     start = (seeds_df.toDF("node") if seeds_df is not None else nodes).distinct()
     n = start.count()

@@ -17,7 +17,7 @@ from oxbow.session import checkpointed
 def forward_push(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "dst", alpha: float = 0.15, epsilon: float = 1e-5, direction: str = "forward", rounds: int = 1000) -> DataFrame:
     """(node, score) of the nodes with mass, for the seeds (one column); seeds without edges are sinks. No seed, no row."""
     alpha = min(1.0, max(alpha, 1e-12))
-    hops = checkpointed(steps(edges, src, dst, direction))
+    hops = checkpointed(steps(edges, src, dst, direction).distinct())
     degrees = checkpointed(hops.groupBy("u").agg(F.count("*").alias("degree")))
     start = seeds.toDF("node").where("node is not null").distinct()
     share = 1.0 / max(1, start.count())

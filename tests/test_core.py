@@ -126,3 +126,11 @@ def test_graph_components_over_all_rows(spark):
     from oxbow.queries import QUERIES as own
 
     assert {r["node"]: r["component"] for r in own["graph_components"](spark, "/root/testdata/sf0.001").collect()} == {x: find(x) for x in root}
+
+
+def test_parallel_edges_and_targets(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 4), (4, 1), (3, None)], "src long, dst long")
+    reach = graph.var_length(edges, [1], "src", "dst", 1, 9)
+    assert sorted((r.dst, r.depth) for r in reach.collect()) == [(2, 1), (3, 2), (4, 3)]
+    depths = [graph.shortest_path(edges, 1, target, "src", "dst", 9).first()[0] for target in (1, 3, 7)]
+    assert depths == [0, 2, None]
