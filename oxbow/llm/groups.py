@@ -1,7 +1,8 @@
-"""Groups that may be large: whole groups from sorted streams, and splitting into pairs of sub-blocks."""
+"""Groups that may be large: whole groups from sorted streams, and splitting into sub-blocks and pairs of them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,7 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oxbow.session import checkpointed
+
 PAIR = ("one", "two")
+#: Rows of sub-blocks, or of pairs of them, that a broadcast may hold, some 60 MB.
+MOST_BROADCAST = 1_000_000
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -41,20 +46,50 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         yield numbered(carried.combine_chunks())
 
 
-def split_in_pairs(members: DataFrame, key: str, member: str, most: int) -> DataFrame:
-    """`members` with columns one, two, side; groups of more than `most` rows are split into sub-blocks.
+def counted(df: DataFrame) -> DataFrame:
+    """`df` checkpointed, to be broadcast if its rows are few enough."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def split_alone(members: DataFrame, key: str, member: str, most: int, turn: int) -> DataFrame:
+    """`members` with columns one, two, side: groups of more than `most` rows as sub-blocks of about `most`, each for itself.
 
-    Rows with the same (key, one, two) belong together. Side 0: the group is not split, or the rows
-    are of one sub-block, so all pairs count; sides 1 and 2: the pair of two sub-blocks, of which only
-    pairs across count. Every pair of a group's members meets in exactly one place. Groups of one
-    row are left out.
+    So a group costs its size; which rows meet depends on `turn`. Groups of one row are left out.
     """
     sizes = members.groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
-    parts = F.ceil(F.col("members") / most).cast("int")
-    sub = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
-    dealt = members.join(sizes, key).withColumn("parts", parts).withColumn("sub", sub)
-    places = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(F.least(o, "sub").alias("one"), F.greatest(o, "sub").alias("two"), F.when(o == F.col("sub"), 0).when(F.col("sub") < o, 1).otherwise(2).alias("side")),
-    )
-    return dealt.withColumn("place", F.explode(places)).select(*members.columns, "place.one", "place.two", "place.side")
+    sub = F.pmod(F.xxhash64(member, F.lit(turn)), F.ceil(F.col("members") / most)).cast("long")
+    return members.join(sizes, key).withColumn("one", sub).select(*members.columns, "one", F.lit(0).cast("long").alias("two"), F.lit(0).alias("side"))
+
+
+def split_across(members: DataFrame, key: str, member: str, within: str, size: str, ratio: float, most: int) -> DataFrame:
+    """`members` with columns one, two, side, so that all pairs meet that differ in `within` and whose sizes differ by `ratio` at most.
+
+    Rows with the same (key, one, two) belong together. Side 0: all pairs count; sides 1 and 2: only pairs
+    across count. Each such pair of a group's members meets in exactly one place; other pairs may meet too.
+    In groups of more than `most` rows, a `within` of more than `most` rows has sub-blocks of its own, the others
+    share some; all are of one band of sizes each. Sub-blocks of the same large `within`, or of bands too far
+    apart, are not paired, so a group in which one class prevails costs about its size.
+    """
+    sizes = members.groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
+    dealt = members.join(sizes, key)
+    zero = F.lit(0).cast("long")
+    whole = dealt.where(F.col("members") <= most).select(*members.columns, zero.alias("one"), zero.alias("two"), F.lit(0).alias("side"))
+
+    crowded = dealt.where(F.col("members") > most).select(*members.columns, F.floor(F.log(size) / F.lit(math.log(ratio) * (1 + 1e-9))).alias("band"))
+    large = counted(crowded.groupBy(key, within).agg(F.count("*").alias("rows")).where(F.col("rows") > most).select(key, within, F.lit(True).alias("large")))
+    told = crowded.join(large, [key, within], "left").withColumn("large", F.coalesce("large", F.lit(False))).withColumn("own", F.when(F.col("large"), F.col(within)).otherwise(zero))
+    unit = [key, "large", "own", "band"]
+    parts = F.ceil(F.col("rows") / most).cast("int")
+    units = counted(told.groupBy(*unit).agg(F.count("*").alias("rows")).select(*unit, parts.alias("parts"), F.monotonically_increasing_id().alias("unit")))
+    named = lambda side: units.select(key, *[F.col(c).alias(f"{c}_{side}") for c in ("large", "own", "band", "parts", "unit")])
+    same_class = F.col("large_a") & F.col("large_b") & (F.col("own_a") == F.col("own_b"))
+    near = named("a").join(named("b"), key).where((F.col("unit_a") <= F.col("unit_b")) & (F.abs(F.col("band_a") - F.col("band_b")) <= 1) & ~same_class)
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    both = near.select("unit_a", "unit_b", "parts_b", upto("parts_a").alias("sub_a")).select("unit_a", "unit_b", "sub_a", upto("parts_b").alias("sub_b"))
+    both = both.where("unit_a < unit_b or sub_a <= sub_b").withColumn("alone", F.expr("unit_a = unit_b and sub_a = sub_b"))
+    pairs = checkpointed(both.withColumn("one", F.monotonically_increasing_id()))
+    sides = pairs.select(F.col("unit_a").alias("unit"), F.col("sub_a").alias("sub"), "one", F.when(F.col("alone"), 0).otherwise(1).alias("side"))
+    sides = sides.unionAll(pairs.where("not alone").select("unit_b", "sub_b", "one", F.lit(2)))
+    placed = told.join(units, unit).withColumn("sub", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
+    return whole.unionAll(placed.join(sides, ["unit", "sub"]).select(*members.columns, "one", zero.alias("two"), "side"))

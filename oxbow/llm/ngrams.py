@@ -11,12 +11,14 @@ more share an n-gram among the first |x| - ceil(t |x|) + 1 of each in any common
 taken goes by frequency (in powers of two, as far as batches of documents can tell; it is only a
 preference: whatever it says, no pair is lost), then by hash, so a passage that many documents share
 makes no block unless it is most of a document. Blocks with the same members are one block; documents with equal sets are one point.
-A block of more than SPLIT points is split into pairs of sub-blocks with an R-tree each.
 
 As the result is a partition, not all links: first each point's most alike partner (by the bound) is
-verified; components are formed; then, in blocks that still hold several components, every
-surviving pair across components is verified; these must pass a second bound as well, over as many
-groups as the document has n-grams, about, so that few pairs are verified in vain. Points of one component are not paired again, so a
+verified and components are formed; a block of more than SPLIT points is taken in sub-blocks of that
+size, each for itself with an R-tree of its own, and while more than SPLIT components are left in it, one point of each
+is dealt anew, as long as that at least halves them somewhere. Then, in blocks that still hold several
+components, every surviving pair across components is verified; these must pass a second bound as well, over as many
+groups as the document has n-grams, about, so that few pairs are verified in vain. There sub-blocks are
+paired unless they are of one large component or their sizes rule all links out. Points of one component are not paired again, so a
 group of near copies costs about its size, not its square, and no component is missed.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oxbow.llm.caches import release, tidy
-from oxbow.llm.groups import PAIR, split_in_pairs, whole_groups
+from oxbow.llm.groups import PAIR, split_across, split_alone, whole_groups
 from oxbow.llm.hashing import mix, prefix_sums, range_hash
 from oxbow.operators.components import star_components
 from oxbow.session import checkpointed
@@ -475,20 +477,35 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = checkpointed(blocks.select("block", F.explode("docs").alias("doc")).join(points.select("doc", "print"), "doc").join(classes, "print").select("block", F.col("first").alias("doc")).distinct())
     copies = points.join(classes, "print").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
 
-    def pairs_of(rows: DataFrame, best_only: bool) -> DataFrame:
+    def pairs_of(dealt: DataFrame, best_only: bool) -> DataFrame:
         fine = F.lit(None).cast("binary") if best_only else F.col("fine")
-        dealt = split_in_pairs(rows, "block", "doc", SPLIT).join(points.select("doc", "n", "point", fine.alias("fine")), "doc")
-        ordered = dealt.select("block", *PAIR, "side", "doc", "n", "point", "fine", "component").repartition("block", *PAIR).sortWithinPartitions("block", *PAIR)
+        told = dealt.select("block", *PAIR, "side", "doc", "component").join(points.select("doc", "n", "point", fine.alias("fine")), "doc")
+        ordered = told.select("block", *PAIR, "side", "doc", "n", "point", "fine", "component").repartition("block", *PAIR).sortWithinPartitions("block", *PAIR)
         return ordered.mapInArrow(lambda b: candidates(b, threshold, best_only), "a long, b long").distinct()
 
-    tried = checkpointed(pairs_of(members.withColumn("component", F.col("doc")), True))
-    links = checkpointed(verified(tried, texts, words, threshold).unionAll(copies))
-    joined = checkpointed(star_components(links, "a", "b"))
-    held = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
+    # one point of each component of a block; at first all are components of their own
+    alone, links, tried, crowd, turn = members.withColumn("component", F.col("doc")), copies, None, None, 0
+    while True:
+        new = checkpointed(pairs_of(split_alone(alone, "block", "doc", SPLIT, turn), True))
+        links = checkpointed(links.unionAll(verified(new, texts, words, threshold)))
+        tried = new if tried is None else tried.unionAll(new)
+        joined = checkpointed(star_components(links, "a", "b"))
+        held = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
+        left = held.join(crowd.select("block"), "block", "left_semi") if crowd is not None else held
+        heads = left.groupBy("block", "component").agg(F.min("doc").alias("doc"))
+        full = heads.groupBy("block").agg(F.count("*").alias("heads")).where(F.col("heads") > SPLIT)
+        if crowd is not None:
+            full = full.join(crowd.select("block", F.col("heads").alias("before")), "block").where("2 * heads <= before").select("block", "heads")
+        crowd = checkpointed(full)
+        if crowd.isEmpty():
+            break
+        alone = heads.join(crowd, "block", "left_semi").select("block", "doc", "component")
+        turn += 1
     mixed = held.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
     # the only pair of a block of two was tried or ruled out in the first round
     mixed = mixed.where("x <> y and members > 2").select("block")
-    rest = pairs_of(held.join(mixed, "block", "left_semi"), False).join(tried, ["a", "b"], "left_anti")
+    sized = checkpointed(held.join(mixed, "block", "left_semi").join(points.select("doc", "n"), "doc"))
+    rest = pairs_of(split_across(sized, "block", "doc", "component", "n", under / over, SPLIT), False).join(tried, ["a", "b"], "left_anti")
     more = checkpointed(verified(checkpointed(rest), texts, words, threshold))
     # the second round joins components of the first
     final = star_components(links.unionAll(more), "a", "b")

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from oxbow.llm import bpe, caps, forest, html, language, ngrams, packing, quality, queries, repeats, urls, vocabulary
+from oxbow.llm import bpe, caps, forest, groups, html, language, ngrams, packing, quality, queries, repeats, urls, vocabulary
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(900, ""), (901, None), (902, " \n\t"), (903, "a b c"), (904, "A B\tc"), (905, "é" * 3000), (None, "text without an id")]
@@ -71,6 +71,31 @@ def test_ngram_join(spark, texts, split, monkeypatch):
     assert [tuple(r) for r in ngrams.near_documents(frame(spark, [(1, "a"), (1, "a")])).collect()] == [(1, 1, 1)] * 2
 
 
+def test_split_across(spark):
+    r = random.Random(5)
+    rows = [(0, k, 0 if k < 200 else r.randrange(1, 9), r.randrange(1, 40)) for k in range(240)] + [(1, 1, 1, 5), (1, 2, 2, 6), (2, 3, 3, 7)]
+    met: dict[tuple, list] = {}
+    dealt = groups.split_across(spark.createDataFrame(rows, "g long, m long, c long, n long"), "g", "m", "c", "n", 4 / 3, 4).collect()
+    for x in dealt:
+        met.setdefault((x.g, x.one, x.two), []).append(x)
+    times: dict[tuple, int] = {}
+    for place in met.values():
+        assert len(place) <= 40  # hashes deal about 4 rows a side
+        for x in place:
+            for y in place:
+                if x.m < y.m and (x.side != y.side or x.side == 0):
+                    times[x.g, x.m, y.m] = times.get((x.g, x.m, y.m), 0) + 1
+    assert set(times.values()) == {1}
+    for g, m, c, n in rows:
+        for h, o, d, k in rows:
+            if g == h and m < o and c != d and max(n, k) * 3 <= min(n, k) * 4:
+                assert (g, m, o) in times
+    prevailing = [x for x in dealt if x.m < 200 and x.g == 0]
+    assert len(prevailing) < 200 * 40 / 2
+    alone = groups.split_alone(spark.createDataFrame(rows, "g long, m long, c long, n long"), "g", "m", 16, 0)
+    assert sorted((x.g, x.m) for x in alone.collect()) == sorted((g, m) for g, m, _, _ in rows if g < 2)
+
+
 def test_repeats(spark):
     r = random.Random(3)
     base = ["".join(r.choice("abcdé ") for _ in range(r.randint(50, 500))) for _ in range(6)]
