@@ -10,7 +10,8 @@ To join a large corpus the points are first dealt into blocks, without loss: two
 more share an n-gram among the first |x| - ceil(t |x|) + 1 of each in any common order. The order
 taken goes by frequency (in powers of two, as far as batches of documents can tell; it is only a
 preference: whatever it says, no pair is lost), then by hash, so a passage that many documents share
-makes no block unless it is most of a document. Blocks with the same members are one block; documents with equal sets are one point.
+makes no block unless it is most of a document. The documents of a hot n-gram are listed in pieces, dealt by
+document, so no task has them all. Blocks with the same members are one block; documents with equal sets are one point.
 
 As the result is a partition, not all links: first each point's most alike partner (by the bound) is
 verified and components are formed; a block of more than SPLIT points is taken in sub-blocks of that
@@ -45,6 +46,8 @@ FANOUT = 16
 SPLIT = 1024
 #: Members that are verified against one document in one place.
 MEMBERS = 512
+#: N-grams in 2 ** HOT documents or more, as far as batches can tell, have their documents listed in many places.
+HOT = 12
 #: Frequent n-grams whose frequency the order knows, at most (9 bytes each are broadcast).
 MOST_FREQUENT = 3_000_000
 PORTION = 1 << 20
@@ -229,7 +232,10 @@ def level_of(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
 
 @tidy
 def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tuple[int, int], parts: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(part, records) of the documents (doc, data): the grams by which each can meet others. Of equal sets in a batch only the first goes."""
+    """(part, records) of the documents (doc, data): the grams by which each can meet others. Of equal sets in a batch only the first goes.
+
+    Parts below `parts` go by the gram, the others have the hot grams of some documents.
+    """
     over, under = threshold
     release()
     for batch in batches:
@@ -254,19 +260,24 @@ def list_prefixes(batches: Iterator[pa.RecordBatch], words: int, threshold: tupl
             chosen = (place < first[of]) & ~repeat[of]
             out = np.empty(int(chosen.sum()), RECORD)
             out["gram"], out["doc"] = grams[chosen], docs[begin : begin + len(texts)][of[chosen]]
-            found.append(out)
+            hot = late[order][chosen] >= HOT
+            found.append((out, np.where(hot, mix(out["doc"].view(np.uint64) + np.uint64(5)), mix(out["gram"].copy())) % np.uint64(parts) + hot * np.uint64(parts)))
         if not found:
             continue
-        records = np.concatenate(found)
-        part = (mix(records["gram"].copy()) % np.uint64(parts)).astype(np.int64)
+        records, part = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        part = part.astype(np.int64)
         order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(k, records[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in range(parts) if cuts[k] < cuts[k + 1]]
+        cuts = np.searchsorted(part[order], np.arange(2 * parts + 1))
+        rows = [(k, records[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in range(2 * parts) if cuts[k] < cuts[k + 1]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "records"])
 
 
-def form_blocks(rows: pa.Table) -> pa.Table:
-    """(block, docs): for every gram of two documents or more its documents; block is a hash of them, once in a part."""
+def form_blocks(rows: pa.Table, parts: int) -> pa.Table:
+    """(block, docs, grams): for every gram of two documents or more its documents; block is a hash of them, once in a part.
+
+    In a part of hot grams these are pieces of blocks, of one document too, and grams lists the grams that have them; else it is null.
+    """
+    hot = rows["part"][0].as_py() >= parts
     records = np.frombuffer(b"".join(rows["records"].to_pylist()), RECORD)
     records = records[np.lexsort([records["doc"], records["gram"]])]
     fresh = np.ones(len(records), bool)
@@ -275,12 +286,24 @@ def form_blocks(rows: pa.Table) -> pa.Table:
     cuts = np.flatnonzero(np.concatenate([[True], records["gram"][1:] != records["gram"][:-1]]))
     sizes = np.diff(np.append(cuts, len(records)))
     names = mix(np.add.reduceat(mix(records["doc"].view(np.uint64).copy() + np.uint64(99)), cuts) + sizes.astype(np.uint64)) if len(cuts) else np.zeros(0, np.uint64)
-    many = np.flatnonzero(sizes > 1)
-    _, once = np.unique(names[many], return_index=True)
+    many = np.flatnonzero(sizes > (0 if hot else 1))
+    _, once, of = np.unique(names[many], return_index=True, return_inverse=True)
+    heads = records["gram"][cuts[many]].view(np.int64)[np.argsort(of, kind="stable")]
+    grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(once)))]), pa.int32()), pa.array(heads, pa.int64()))
     many = many[once]
     offsets = np.concatenate([[0], np.cumsum(sizes[many])])
     at = np.repeat(cuts[many] - offsets[:-1], sizes[many]) + np.arange(offsets[-1])
-    return pa.table({"block": names[many].view(np.int64), "docs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(records["doc"][at], pa.int64()))})
+    return pa.table({"block": names[many].view(np.int64), "docs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(records["doc"][at], pa.int64())), "grams": grams if hot else pa.nulls(len(many), grams.type)})
+
+
+def whole_blocks(formed: DataFrame) -> DataFrame:
+    """(block, doc) of the rows of form_blocks; hot grams with the same pieces are one block, named by the least of them."""
+    cold = formed.where("grams is null").groupBy("block").agg(F.first("docs").alias("docs")).select("block", F.explode("docs").alias("doc"))
+    hot = formed.where("grams is not null").select(F.col("block").alias("piece"), "docs", "grams")
+    held = hot.select(F.explode("grams").alias("gram"), "piece")
+    told = held.groupBy("gram").agg(F.expr("bit_xor(xxhash64(piece))").alias("name"), F.count("*").alias("pieces"))
+    chosen = told.groupBy("name", "pieces").agg(F.min("gram").alias("gram")).select("gram")
+    return cold.unionAll(held.join(chosen, "gram").join(hot.select("piece", "docs"), "piece").select("gram", F.explode("docs")))
 
 
 def asked(left: np.ndarray, right: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -470,11 +493,11 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     parts = max(32, int(size * 0.8 / PART_BYTES))
     prefixes = texts.mapInArrow(lambda b: list_prefixes(b, words, threshold, parts, frequent.value), "part int, records binary")
-    blocks = prefixes.groupBy("part").applyInArrow(form_blocks, "block long, docs array<long>").groupBy("block").agg(F.first("docs").alias("docs"))
+    blocks = checkpointed(prefixes.groupBy("part").applyInArrow(lambda t: form_blocks(t, parts), "block long, docs array<long>, grams array<long>"))
     points = about.where("n > 0").select("doc", "n", "print", "point", "fine")
     classes = points.groupBy("print").agg(F.min("doc").alias("first"))
     # a block's members, each set once
-    members = checkpointed(blocks.select("block", F.explode("docs").alias("doc")).join(points.select("doc", "print"), "doc").join(classes, "print").select("block", F.col("first").alias("doc")).distinct())
+    members = checkpointed(whole_blocks(blocks).join(points.select("doc", "print"), "doc").join(classes, "print").select("block", F.col("first").alias("doc")).distinct())
     copies = points.join(classes, "print").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
 
     def pairs_of(dealt: DataFrame, best_only: bool) -> DataFrame:

@@ -60,9 +60,10 @@ def brute_ngrams(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("split", [1024, 4])
-def test_ngram_join(spark, texts, split, monkeypatch):
+@pytest.mark.parametrize(("split", "hot"), [(1024, 12), (4, 0)])
+def test_ngram_join(spark, texts, split, hot, monkeypatch):
     monkeypatch.setattr(ngrams, "SPLIT", split)
+    monkeypatch.setattr(ngrams, "HOT", hot)
     docs = texts | {i: t for i, t in ODD if i is not None}
     found = {r[0]: (r[1], r[2]) for r in ngrams.near_documents(frame(spark, [*docs.items(), (None, "x y z")])).collect()}
     assert found.pop(None) == (1, None)
