@@ -15,8 +15,8 @@ document, so no task has them all. Blocks with the same members are one block; d
 
 As the result is a partition, not all links: first each point's most alike partner (by the bound) is
 verified and components are formed; a block of more than SPLIT points is taken in sub-blocks of that
-size, each for itself with an R-tree of its own, and while more than SPLIT components are left in it, one point of each
-is dealt anew, as long as that at least halves them somewhere. Then, in blocks that still hold several
+size, each for itself with an R-tree of its own; of a block that had to be split two points of each component are
+dealt anew, until they fit in one sub-block or are no longer halved. Then, in blocks that still hold several
 components, every surviving pair across components is verified; these must pass a second bound as well, over as many
 groups as the document has n-grams, about, so that few pairs are verified in vain. There sub-blocks are
 paired unless they are of one large component or their sizes rule all links out. Points of one component are not paired again, so a
@@ -506,23 +506,23 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ordered = told.select("block", *PAIR, "side", "doc", "n", "point", "fine", "component").repartition("block", *PAIR).sortWithinPartitions("block", *PAIR)
         return ordered.mapInArrow(lambda b: candidates(b, threshold, best_only), "a long, b long").distinct()
 
-    # one point of each component of a block; at first all are components of their own
-    alone, links, tried, crowd, turn = members.withColumn("component", F.col("doc")), copies, None, None, 0
+    # at first every point is a component; then two points of each component of the blocks that had to be split
+    alone, links, tried, turn = members.withColumn("component", F.col("doc")), copies, None, 0
     while True:
         new = checkpointed(pairs_of(split_alone(alone, "block", "doc", SPLIT, turn), True))
         links = checkpointed(links.unionAll(verified(new, texts, words, threshold)))
         tried = new if tried is None else tried.unionAll(new)
         joined = checkpointed(star_components(links, "a", "b"))
         held = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
-        left = held.join(crowd.select("block"), "block", "left_semi") if crowd is not None else held
-        heads = left.groupBy("block", "component").agg(F.min("doc").alias("doc"))
-        full = heads.groupBy("block").agg(F.count("*").alias("heads")).where(F.col("heads") > SPLIT)
-        if crowd is not None:
-            full = full.join(crowd.select("block", F.col("heads").alias("before")), "block").where("2 * heads <= before").select("block", "heads")
-        crowd = checkpointed(full)
-        if crowd.isEmpty():
+        split = alone.groupBy("block").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT)
+        ends = held.join(split, "block").groupBy("block", "rows", "component").agg(F.array_distinct(F.array(F.min("doc"), F.max("doc"))).alias("docs"))
+        heads = checkpointed(ends.select("block", "rows", "component", F.explode("docs").alias("doc")))
+        again = heads.groupBy("block", "rows").agg(F.count("*").alias("heads"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        if turn:
+            again = again.where("2 * heads <= rows")
+        alone = checkpointed(heads.join(again.select("block"), "block", "left_semi").select("block", "doc", "component"))
+        if alone.isEmpty():
             break
-        alone = heads.join(crowd, "block", "left_semi").select("block", "doc", "component")
         turn += 1
     mixed = held.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
     # the only pair of a block of two was tried or ruled out in the first round
