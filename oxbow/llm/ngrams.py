@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oxbow.llm.caches import release, tidy
-from oxbow.llm.groups import PAIR, split_across, split_alone, whole_groups
+from oxbow.llm.groups import PAIR, counted, split_across, split_alone, whole_groups
 from oxbow.llm.hashing import mix, prefix_sums, range_hash
 from oxbow.operators.components import star_components
 from oxbow.session import checkpointed
@@ -461,13 +461,16 @@ def verify_stream(batches: Iterator[pa.RecordBatch], words: int, threshold: tupl
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that link. Each lead a is compared with MEMBERS others in one place at most."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int], few: bool = False) -> DataFrame:
+    """The pairs (a, b) that link. Each lead a is compared with MEMBERS others in one place at most.
+
+    `few` pairs (counted all the same) are broadcast, so that not all texts are shuffled for them.
+    """
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(crowd, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     leads = crowd.select(F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc"))
     requests = members.unionAll(leads)
-    rows = requests.join(texts, "doc").select("lead", "salt", "role", "doc", "data")
+    rows = (counted(requests) if few else requests).join(texts, "doc").select("lead", "salt", "role", "doc", "data")
     dealt = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role")
     return dealt.mapInArrow(lambda b: verify_stream(b, words, threshold), "a long, b long")
 
@@ -500,19 +503,21 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = checkpointed(whole_blocks(blocks).join(points.select("doc", "print"), "doc").join(classes, "print").select("block", F.col("first").alias("doc")).distinct())
     copies = points.join(classes, "print").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
 
-    def pairs_of(dealt: DataFrame, best_only: bool) -> DataFrame:
+    def pairs_of(dealt: DataFrame, best_only: bool, few: bool = False) -> DataFrame:
         fine = F.lit(None).cast("binary") if best_only else F.col("fine")
-        told = dealt.select("block", *PAIR, "side", "doc", "component").join(points.select("doc", "n", "point", fine.alias("fine")), "doc")
+        dealt = dealt.select("block", *PAIR, "side", "doc", "component")
+        told = (counted(dealt) if few else dealt).join(points.select("doc", "n", "point", fine.alias("fine")), "doc")
         ordered = told.select("block", *PAIR, "side", "doc", "n", "point", "fine", "component").repartition("block", *PAIR).sortWithinPartitions("block", *PAIR)
         return ordered.mapInArrow(lambda b: candidates(b, threshold, best_only), "a long, b long").distinct()
 
     # at first every point is a component; then two points of each component of the blocks that had to be split
     alone, links, tried, turn = members.withColumn("component", F.col("doc")), copies, None, 0
     while True:
-        new = checkpointed(pairs_of(split_alone(alone, "block", "doc", SPLIT, turn), True))
-        links = checkpointed(links.unionAll(verified(new, texts, words, threshold)))
+        new = checkpointed(pairs_of(split_alone(alone, "block", "doc", SPLIT, turn), True, turn > 0))
+        joined = checkpointed(star_components(links.unionAll(verified(new, texts, words, threshold, turn > 0)), "a", "b"))
+        # components so far, as links
+        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
         tried = new if tried is None else tried.unionAll(new)
-        joined = checkpointed(star_components(links, "a", "b"))
         held = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("block", "doc", F.coalesce("component", "doc").alias("component"))
         split = alone.groupBy("block").agg(F.count("*").alias("rows")).where(F.col("rows") > SPLIT)
         ends = held.join(split, "block").groupBy("block", "rows", "component").agg(F.array_distinct(F.array(F.min("doc"), F.max("doc"))).alias("docs"))
