@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oxbow.llm import language, ngrams, packing, quality, repeats
-from oxbow.session import remove_folder, shared_folder, table
+from oxbow.session import collect_garbage, remove_folder, shared_folder, table
 
 #: A document stays if its language is at least so certain.
 CERTAIN = 0.4
@@ -86,4 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
             remove_folder(spark, f"{folder}/{k - 1}")
+        collect_garbage(spark)
     return docs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import release, tidy
+from oxbow.llm.caches import give_back, release, tidy
 from oxbow.llm.samples import labelled_texts, remainder
 
 HIDDEN = 8
@@ -222,4 +222,6 @@ def identify_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text
 def train_on(documents: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model:
     """Fit on about `per_label` documents of each language, however many there are, none of them held out (crc32(id) mod 4 = 2)."""
     learn = documents.select(id_col, label_col).where(remainder(id_col, 4) != 2)
-    return train(labelled_texts(documents.where(remainder(id_col, 4) != 2), learn, id_col, text_col, label_col, per_label))
+    model = train(labelled_texts(documents.where(remainder(id_col, 4) != 2), learn, id_col, text_col, label_col, per_label))
+    give_back()  # the driver would keep what the examples took
+    return model

@@ -25,6 +25,7 @@ group of near copies costs about its size, not its square, and no component is m
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from oxbow.llm.caches import release, tidy
 from oxbow.llm.groups import PAIR, counted, split_across, split_alone, whole_groups
 from oxbow.llm.hashing import mix, prefix_sums, range_hash
 from oxbow.operators.components import star_components
-from oxbow.session import checkpointed
+from oxbow.session import checkpointed, collect_garbage
 
 WORDS = 5
 #: Jaccard similarity from which two documents link: numerator and denominator.
@@ -484,6 +485,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with nothing and have a null component. Texts of any length count whole; an empty table gives no rows. Other columns are not read.
     """
     over, under = threshold
+    # some hundred short stages follow
+    tidy_up = functools.partial(collect_garbage, df.sparkSession)
     named = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("data"))
     repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
     texts = named.where("doc is not null")
@@ -501,6 +504,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = points.groupBy("print").agg(F.min("doc").alias("first"))
     # a block's members, each set once
     members = checkpointed(whole_blocks(blocks).join(points.select("doc", "print"), "doc").join(classes, "print").select("block", F.col("first").alias("doc")).distinct())
+    tidy_up()
     copies = points.join(classes, "print").select(F.col("doc").alias("a"), F.col("first").alias("b")).where("a <> b")
 
     def pairs_of(dealt: DataFrame, best_only: bool, few: bool = False) -> DataFrame:
@@ -514,7 +518,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone, links, tried, turn = members.withColumn("component", F.col("doc")), copies, None, 0
     while True:
         new = checkpointed(pairs_of(split_alone(alone, "block", "doc", SPLIT, turn), True, turn > 0))
-        joined = checkpointed(star_components(links.unionAll(verified(new, texts, words, threshold, turn > 0)), "a", "b"))
+        tidy_up()
+        joined = checkpointed(star_components(links.unionAll(verified(new, texts, words, threshold, turn > 0)), "a", "b", after_round=tidy_up))
         # components so far, as links
         links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
         tried = new if tried is None else tried.unionAll(new)
@@ -526,6 +531,7 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if turn:
             again = again.where("2 * heads <= rows")
         alone = checkpointed(heads.join(again.select("block"), "block", "left_semi").select("block", "doc", "component"))
+        tidy_up()
         if alone.isEmpty():
             break
         turn += 1
@@ -535,8 +541,9 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sized = checkpointed(held.join(mixed, "block", "left_semi").join(points.select("doc", "n"), "doc"))
     rest = pairs_of(split_across(sized, "block", "doc", "component", "n", under / over, SPLIT), False).join(tried, ["a", "b"], "left_anti")
     more = checkpointed(verified(checkpointed(rest), texts, words, threshold))
+    tidy_up()
     # the second round joins components of the first
-    final = star_components(links.unionAll(more), "a", "b")
+    final = star_components(links.unionAll(more), "a", "b", after_round=tidy_up)
     result = about.select("doc", "n").join(final.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     if repeated:
         told = named.where("doc is not null").select("doc").join(result, "doc")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oxbow.llm.caches import held, tidy
+from oxbow.llm.caches import give_back, held, tidy
 from oxbow.llm.samples import labelled_texts, remainder
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -175,4 +175,6 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
 def train_on(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model:
     """Fit on about `per_label` rows of each label, none of them held out (crc32(id) mod 5 = 0)."""
     learn = labels.where(remainder(id_col, 5) != 0)
-    return train(labelled_texts(documents, learn, id_col, text_col, label_col, per_label, most_labels=2))
+    model = train(labelled_texts(documents, learn, id_col, text_col, label_col, per_label, most_labels=2))
+    give_back()  # the driver would keep what the examples took
+    return model

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oxbow.session import checkpointed
 
 
-def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
+def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40, after_round: Callable[[], None] | None = None) -> DataFrame:
     """(node, component) for every node that an edge touches; component is its smallest node.
 
     Each round re-hangs every neighbour below the smallest one (large star, then small star), so
     the edge table shrinks to one star per component in O(log^2 n) rounds. Only minima are
     aggregated, with partial sums before the shuffle, so a hub costs no more than its edges; the
     edges never reach the driver. Self loops, nulls, repeated edges and an empty table are fine:
-    nulls and loops are dropped.
+    nulls and loops are dropped. `after_round` is called after each round.
     """
     a, b = F.col(src), F.col(dst)
     stars = checkpointed(
@@ -33,6 +35,8 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         )
         stars = checkpointed(small.where("e.a <> e.b").select(F.col("e.a").alias("hi"), F.col("e.b").alias("lo")).distinct())
         sums = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.sum((F.col("hi") == F.col("lo")).cast("int"))).first()
+        if after_round:
+            after_round()
         if seen == sums:
             break
         seen = sums
